@@ -1,4 +1,4 @@
 """Query catalog. Importing this package registers every named query."""
 
 from vulnsift.plans.registry import REGISTRY, Query, query  # noqa: F401
-from vulnsift.plans import feed, search, text  # noqa: F401
+from vulnsift.plans import feed, pairs, search, text  # noqa: F401
