@@ -74,11 +74,11 @@ def _cpe_list_sql(sep: str) -> str:
             f" || ' - ' || coalesce(vend, 'none') || '''', ', ' ORDER BY i) AS cpes FROM adv_l GROUP BY pos)")
 
 
-DENSE_SQL = f"""
-WITH {ADV_SQL}, {_cpe_list_sql(', ')}
-SELECT o.pos, o.cve_id, 'id: ' || o.cve_id || ' list cpe: [' || coalesce(cp.cpes, '') || '] description: '
+DENSE_CTE = f"""{ADV_SQL}, {_cpe_list_sql(', ')},
+dense AS (SELECT o.pos, o.cve_id, 'id: ' || o.cve_id || ' list cpe: [' || coalesce(cp.cpes, '') || '] description: '
        || o.descr || ' ' || lower({IMPACT_SQL}) AS document
-FROM adv_o o LEFT JOIN cp USING (pos) WHERE o.cve_id IS NOT NULL"""
+FROM adv_o o LEFT JOIN cp USING (pos) WHERE o.cve_id IS NOT NULL)"""
+DENSE_SQL = f"WITH {DENSE_CTE} SELECT pos, cve_id, document FROM dense"
 
 TRAINING_SQL = f"""
 WITH {ADV_SQL}, {_cpe_list_sql(' ')}
