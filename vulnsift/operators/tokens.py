@@ -9,11 +9,14 @@ from vulnsift.functions import text as T
 
 
 def bigrams(tokens) -> Column:
-    """Adjacent pairs joined by a blank (empty for fewer than two tokens)."""
+    """Adjacent pairs joined by a blank (empty for fewer than two tokens).
+
+    ``zip_with(t, tail(t))`` is linear; pass a column (not an expression) so the token array
+    is computed once rather than once per element."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
-    return F.when(F.size(t) < 2, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(t) - 2),
-                    lambda i: F.concat(F.element_at(t, i + 1), F.lit(" "), F.element_at(t, i + 2))))
+    pairs = F.zip_with(t, F.slice(t, 2, F.greatest(F.size(t), F.lit(0))),
+                       lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(pairs, lambda x: x.isNotNull())
 
 
 def unigrams_and_bigrams(tokens) -> Column:
