@@ -38,7 +38,8 @@ adv_o AS (
   FROM orders),
 adv_l AS (
   SELECT l_orderkey AS pos,
-    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i,
+    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+      l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS i,
     l_returnflag = 'R' AS vulnerable,
     'cpe:2.3:a:' || p_brand || ':' || p_name || ':' || CAST(p_size AS VARCHAR) AS uri,
     CASE WHEN l_linestatus = 'F' THEN CAST(l_linenumber AS VARCHAR) || '.0' END AS vstart,

@@ -33,6 +33,8 @@ ITEM_DDL = (
     "baseMetricV2: STRUCT<cvssV2: STRUCT<baseScore: STRING>>>, "
     "publishedDate STRING, lastModifiedDate STRING"
 )
+LINE_TIEBREAK = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+                 "l_shipdate"]
 ITEM_FIELDS = ["cve", "configurations", "impact", "publishedDate", "lastModifiedDate"]
 
 
@@ -100,6 +102,8 @@ def adv_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey",
         F.struct(
             F.col("l_linenumber").alias("ln"), F.col("l_partkey").alias("pk"), F.col("l_suppkey").alias("sk"),
+            # remaining line columns make the order total ((order, line, part, supplier) can repeat)
+            F.struct(*[F.col(c) for c in LINE_TIEBREAK]).alias("tie"),
             F.struct((F.col("l_returnflag") == "R").alias("vulnerable"),
                      F.concat(F.lit("cpe:2.3:a:"), "p_brand", F.lit(":"), "p_name", F.lit(":"),
                               _s(F.col("p_size"))).alias("cpe23Uri"),
