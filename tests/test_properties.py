@@ -87,3 +87,19 @@ def test_save_documents_empty_guard(spark, tmp_path):
     from vulnsift.sinks.csv import save_documents
     empty = spark.createDataFrame([], "id_cve string, documents string")
     assert save_documents(empty, str(tmp_path / "out")) is None
+
+
+def test_dedupe_entries_last_value_first_position(spark):
+    from vulnsift.operators.flatten import dedupe_entries
+    df = spark.createDataFrame([([("a b", "1"), ("c", "2"), ("a b", "3")],)],
+                               "e array<struct<key:string,value:string>>")
+    got = [(x.key, x.value) for x in df.select(dedupe_entries(F.col("e")).alias("d")).first().d]
+    assert got == list(dict([("a b", "1"), ("c", "2"), ("a b", "3")]).items())
+
+
+def test_flatten_json_keeps_key_order(spark):
+    from vulnsift.operators.flatten import flatten_json
+    df = spark.createDataFrame([('{"z": 1, "a": "x", "m": true}',), ("not json",)], "j string")
+    got = [[(x.key, x.value) for x in r.e] for r in df.select(flatten_json(F.col("j"), "p").alias("e")).collect()]
+    assert got[0] == [("p z", "1"), ("p a", "x"), ("p m", "true")]
+    assert got[1] == []

@@ -76,6 +76,31 @@ def flatten_entries(c: Column, dt: DataType, key: Column | None = None) -> Colum
     return F.when(c.isNull(), _empty()).otherwise(_entry(key, _scalar_text(c, dt)))
 
 
+def dedupe_entries(entries: Column) -> Column:
+    """``dict(items)`` semantics - one entry per key, at the position of its first
+    occurrence, holding the value of its last occurrence."""
+    from vulnsift.functions.embed import let
+
+    def body(es):
+        keys = F.transform(es, lambda e: e["key"])
+        return let(keys, lambda ks: F.filter(
+            F.transform(es, lambda e, i: F.struct(
+                e["key"].alias("key"),
+                F.element_at(F.filter(es, lambda x: x["key"] == e["key"]), -1)["value"].alias("value"),
+                (F.array_position(ks, e["key"]) == i + 1).alias("first"))),
+            lambda s: s["first"]))
+    return F.transform(let(entries, body), lambda s: F.struct(s["key"].alias("key"), s["value"].alias("value")))
+
+
+def flatten_json(json_text: Column, root_key: str) -> Column:
+    """F1 schema-free fallback for flat JSON objects: ``from_json`` to an ordered
+    ``map<string,string>`` (key order kept), entries ``root_key <key>``, duplicates per F2."""
+    m = F.from_json(json_text, "map<string,string>")
+    es = F.transform(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))),
+                     lambda e: F.struct(F.concat(F.lit(root_key + " "), e["key"]).alias("key"), e["value"].alias("value")))
+    return dedupe_entries(es)
+
+
 def flatten_item(df: DataFrame, fields: list[str]) -> Column:
     """F1 over several top-level columns as one flattened entry list, in column order."""
     st = StructType([df.schema[f] for f in fields])
