@@ -110,8 +110,9 @@ def tech_tokens(text, stop_words: list[str] | None = None) -> Column:
     sw = STOP_WORDS_EN if stop_words is None else stop_words
     toks = F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(TECH_TOKEN_PATTERN), 0)
     toks = F.transform(F.filter(toks, lambda t: F.length(t) > 2), lambda t: F.lower(t))
-    swa = F.array(*[F.lit(w) for w in sw]) if sw else F.array().cast("array<string>")
-    return F.filter(toks, lambda t: ~F.array_contains(swa, t))
+    if not sw:
+        return toks
+    return F.filter(toks, lambda t: ~t.isin(*sw))         # literal IN list -> hash-set lookup
 
 
 def regex_remove(text, pattern: str) -> Column:

@@ -235,5 +235,6 @@ def sparse_documents(items: DataFrame, mode: str = "advanced", fields: list[str]
     cid = F.col("cve.CVE_data_meta.ID")
     out = items.where(cid.isNotNull() & (F.coalesce(cid, F.lit("unknown")) != "unknown"))
     keep = [c for c in ("pos",) if c in items.columns]
-    return out.select(*keep, F.lower(cid).alias("id_cve"), doc.alias("documents")) \
-        .where(F.col("documents").isNotNull())
+    # (clean_text never returns null, so no filter on the document: a filter on it would be
+    # pushed below the projection and evaluate the whole document expression twice)
+    return out.select(*keep, F.lower(cid).alias("id_cve"), doc.alias("documents"))

@@ -48,5 +48,4 @@ def total_tokens(df: DataFrame, text_col: str) -> DataFrame:
 def remove_stop_words(tokens, stop_words: list[str]) -> Column:
     """W8 as an array filter (keeps duplicates and order; ``array_except`` would dedupe)."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
-    sw = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(t, lambda x: ~F.array_contains(sw, x))
+    return F.filter(t, lambda x: ~x.isin(*stop_words))
