@@ -7,9 +7,30 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+MIN_SPREAD_BYTES = 1 << 20
+
+
+def spread(df: DataFrame, min_bytes: int = MIN_SPREAD_BYTES) -> DataFrame:
+    """Round-robin a scan over all cores when it plans fewer partitions than there are cores.
+
+    A file with one row group is read by one task, and every narrow per-row step after it (regex
+    cleaning, templates, embeddings) would run on one core until the first shuffle. On a
+    cluster reading many files the scan already has more partitions than cores and this is a
+    no-op. Filters and column pruning still reach the scan (they push through a repartition)."""
+    spark = df.sparkSession
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        files = len(df.inputFiles())
+    except Exception:                       # e.g. no JVM plan access: leave the scan as it is
+        return df
+    target = spark.sparkContext.defaultParallelism
+    # byte-range splits of one file do not help when the file is a single row group, so the
+    # test is on files, not on planned partitions
+    return df.repartition(target) if size >= min_bytes and files < target else df
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Lazy parquet scan; Catalyst prunes columns and pushes filters into it."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
