@@ -90,8 +90,8 @@ def tech_token_query(spark, sf_dir):
 WITH n AS (SELECT count(*) AS n FROM documents),
 t AS (SELECT doc_id, unnest({WS_SPLIT_SQL}) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY doc_id, term),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
-SELECT tf.doc_id, tf.term, CAST(tf.tf AS BIGINT) AS tf, CAST(df.df AS BIGINT) AS df,
+df AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term)
+SELECT tf.doc_id, tf.term, CAST(tf.tf AS BIGINT) AS tf, CAST(df.df AS BIGINT) AS df, CAST(df.cf AS BIGINT) AS cf,
        round(log10(n.n / (1.0 + df.df)), 6) AS idf, round(tf.tf * log10(n.n / (1.0 + df.df)), 6) AS tfidf
 FROM tf JOIN df USING (term), n""")
 def tfidf_corpus(spark, sf_dir):
