@@ -103,3 +103,24 @@ def test_flatten_json_keeps_key_order(spark):
     got = [[(x.key, x.value) for x in r.e] for r in df.select(flatten_json(F.col("j"), "p").alias("e")).collect()]
     assert got[0] == [("p z", "1"), ("p a", "x"), ("p m", "true")]
     assert got[1] == []
+
+
+def test_feed_dates_ignore_session_time_zone(spark):
+    from vulnsift.sources.feed import adv_items
+    cols = ["pos", "publishedDate", "cve.CVE_data_meta.ID"]
+    utc = sorted(adv_items(spark, SF_SMALL).select(*cols).collect())
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        other = sorted(adv_items(spark, SF_SMALL).select(*cols).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert utc == other
+
+
+def test_spread_keeps_pushdown(spark):
+    from vulnsift.sources.tables import spread
+    df = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    s = spread(df, min_bytes=1).where(F.col("lang") == "en").select("doc_id")
+    plan = s._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan and "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
+    assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan

@@ -124,7 +124,8 @@ def adv_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     num = F.floor(F.col("o_totalprice") / 5000) / F.lit(10.0)
     severity = F.when(num >= 9, "CRITICAL").when(num >= 7, "HIGH").when(num >= 4, "MEDIUM").otherwise("LOW")
     en = lambda v: F.struct(F.lit("en").alias("lang"), v.alias("value"))
-    ts = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm'Z'")
+    # wall-clock rendering, independent of the session time zone (the column is stored unadjusted)
+    ts = lambda c: F.date_format(c.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm'Z'")
     cvss3 = {
         "version": F.lit("3.1"), "vectorString": F.lit("CVSS:3.1/X"),
         "attackVector": F.when(F.col("o_custkey") % 2 == 0, "NETWORK").otherwise("LOCAL"),
@@ -137,7 +138,7 @@ def adv_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     cve = F.struct(
         F.lit("CVE").alias("data_type"), F.lit("MITRE").alias("data_format"),
-        F.struct(F.when(key % 97 != 0, F.concat(F.lit("CVE-"), _s(F.year("o_orderdate")), F.lit("-"),
+        F.struct(F.when(key % 97 != 0, F.concat(F.lit("CVE-"), _s(F.year(F.col("o_orderdate").cast("timestamp_ntz"))), F.lit("-"),
                                                 F.lpad(_s(key), 6, "0"))).alias("ID"),
                  F.concat(F.lit("cust"), _s(F.col("o_custkey")), F.lit("@example.com")).alias("ASSIGNER"))
         .alias("CVE_data_meta"),
