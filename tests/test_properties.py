@@ -50,7 +50,7 @@ def test_six_variants_per_cve_and_batches_partition(spark):
 
 def test_ann_recall(spark):
     r = REGISTRY["ann_recall"].fn(spark, SF_MID).first()
-    assert r.queries == 500 and r.recall > 0.5
+    assert r.queries == 500 and r.recall > 0.9
 
 
 def test_collection_insert_if_absent(spark, tmp_path):
