@@ -80,4 +80,4 @@ def vector_algebra(spark, sf_dir):
     return p.select("vec_id", F.round(total(vadd("a", "b")), 6).alias("sum_add"),
                     F.round(total(vmul("a", "b")), 6).alias("dot"),
                     F.round(total(vslice("a", 0, 16)), 6).alias("head0_sum"),
-                    F.size(flatten_matrix(F.array("a", "b"))).alias("flat_len"))
+                    F.size(flatten_matrix(F.array("a", "b"))).cast("bigint").alias("flat_len"))
