@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from vulnsift.functions.text import WORD_RUN
 from vulnsift.functions.vectors import normalize
+from vulnsift.session import ship_package
 
 DEFAULT_DIM = 64
 
@@ -88,6 +89,7 @@ def hashed_embedding(text, dim: int = DEFAULT_DIM) -> Column:
     t = F.col(text) if isinstance(text, str) else text
     toks = F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(WORD_RUN), 0)
     buckets = F.transform(toks, lambda w: hash_bucket(w, dim))
+    ship_package()                       # active session, if any
     return _histogram_udf(dim)(buckets)
 
 

@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from vulnsift.session import ship_package
 
 HEAD_DIM = 16
 
@@ -59,6 +60,7 @@ def _partials(scale: float):
 def attention(proj: DataFrame, block: int = 128, head_dim: int = HEAD_DIM) -> DataFrame:
     """A2-A5: per token and head, ``Σ_u softmax_u(q_t·k_u / sqrt(d)) v_u`` within its sequence.
     Result: (seq_id, pos, head, out array<double>(16))."""
+    ship_package(proj.sparkSession)
     scale = 1.0 / math.sqrt(head_dim)
     nblk = proj.groupBy("seq_id").agg(
         (F.floor(F.max("pos") / block) + 1).cast("int").alias("nb"))

@@ -3,11 +3,14 @@ an equivalent DuckDB SQL text over the same tables, used as the correctness orac
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vulnsift.session import ship_package
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,7 +31,13 @@ def query(name: str, ops: tuple[str, ...] | list[str], sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, sql, tuple(ops))
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)          # workers import vulnsift for the Arrow/pandas steps
+            return fn(spark, sf_dir)
+
+        REGISTRY[name] = Query(name, run, sql, tuple(ops))
         return fn
 
     return deco
