@@ -81,15 +81,61 @@ def _histogram_udf(dim: int):
     return hist
 
 
+_TOKEN_UDFS: dict = {}
+
+
+def _token_histogram_udf(dim: int):
+    """Arrow UDF: list<string> tokens -> L2-normalised list<double>(dim).
+
+    Per Arrow batch: the tokens are dictionary-encoded (Arrow C++), md5 runs once per
+    *distinct* token of the batch (words repeat a lot), buckets are gathered back by the
+    dictionary indices and the histogram of all rows is one ``bincount``."""
+    if dim in _TOKEN_UDFS:
+        return _TOKEN_UDFS[dim]
+    import hashlib
+
+    @F.arrow_udf("array<double>")
+    def token_hist(tokens: pa.Array) -> pa.Array:
+        n = len(tokens)
+        offsets = tokens.offsets.to_numpy()
+        flat = tokens.flatten()
+        if len(flat):
+            enc = flat.dictionary_encode()
+            words = enc.dictionary.to_pylist()
+            table = np.fromiter((int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % dim for w in words),
+                                dtype=np.int64, count=len(words))
+            vals = table[enc.indices.to_numpy(zero_copy_only=False)]
+        else:
+            vals = np.empty(0, dtype=np.int64)
+        rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
+        counts = np.bincount(rows * dim + vals, minlength=n * dim).astype(np.float64).reshape(n, dim)
+        norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        norms[norms == 0] = 1.0
+        out = (counts / norms).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32)), pa.array(out))
+
+    _TOKEN_UDFS[dim] = token_hist
+    return token_hist
+
+
 def hashed_embedding(text, dim: int = DEFAULT_DIM) -> Column:
     """``array<double>`` of length ``dim``: L2-normalised bucket counts of the word tokens.
 
-    Tokenising and md5 bucketing run in the JVM; only the bucket ids cross to Python (Arrow),
-    where the histogram of a whole batch is one vectorised ``bincount``."""
+    Tokenising runs in the JVM; the token lists cross to Python once (Arrow), where each
+    distinct token of a batch is hashed once and the histogram of the batch is one
+    vectorised ``bincount``. Same vector as :func:`hashed_embedding_jvm` and the SQL twin."""
     t = F.col(text) if isinstance(text, str) else text
     toks = F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(WORD_RUN), 0)
-    buckets = F.transform(toks, lambda w: hash_bucket(w, dim))
     ship_package()                       # active session, if any
+    return _token_histogram_udf(dim)(toks)
+
+
+def hashed_embedding_jvm(text, dim: int = DEFAULT_DIM) -> Column:
+    """Variant hashing every token in the JVM (md5 per occurrence), histogram in Arrow."""
+    t = F.col(text) if isinstance(text, str) else text
+    toks = F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(WORD_RUN), 0)
+    buckets = F.transform(toks, lambda w: hash_bucket(w, dim))
+    ship_package()
     return _histogram_udf(dim)(buckets)
 
 
