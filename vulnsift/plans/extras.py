@@ -9,13 +9,13 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from vulnsift.functions import text as T
-from vulnsift.operators.flatten import flatten_item, flatten_json, sparse_documents
+from vulnsift.operators.flatten import advanced_document, flatten_item, flatten_json, sparse_documents
 from vulnsift.plans.feed import ADVANCED_SQL, ADV_SQL
 from vulnsift.plans.registry import query
 from vulnsift.session import checkpoint_dir
 from vulnsift.sinks.csv import save_documents, write_csv
 from vulnsift.sources.delimited import read_semicolon_unquoted
-from vulnsift.sources.feed import adv_items
+from vulnsift.sources.feed import ITEM_FIELDS, adv_items
 from vulnsift.sources.tables import table
 
 
@@ -78,13 +78,15 @@ WITH {ADV_SQL}, d AS ({ADVANCED_SQL.replace('WITH ' + ADV_SQL + ',', 'WITH ' + A
 SELECT (SELECT count(*) FROM adv_o) AS n_items, (SELECT count(*) FROM d) AS n_documents,
        (SELECT round(avg(length(documents)), 6) FROM d) AS avg_doc_len""")
 def feed_processing_stats(spark, sf_dir):
-    """Items found, documents produced and mean document length. The item count is an
-    ``observe`` metric collected while the documents are built (no second pass)."""
+    """Items found, documents produced and mean document length, from one aggregate over the
+    items (reliable under task retries). ``observe`` still records a progress counter for the
+    log (G12); being accumulator-based it may over-count after a retry, so it is not the result."""
     obs = Observation("feed_progress")
-    items = adv_items(spark, sf_dir).observe(obs, F.count(F.lit(1)).alias("n_items"))
-    docs = sparse_documents(items, mode="advanced")
-    stats = docs.agg(F.count(F.lit(1)).alias("n_documents"), F.round(F.avg(F.length("documents")), 6).alias("avg_doc_len"))
-    row = stats.first()
-    n_items = obs.get["n_items"]
-    return spark.createDataFrame([(int(n_items), int(row.n_documents), float(row.avg_doc_len))],
-                                 "n_items bigint, n_documents bigint, avg_doc_len double")
+    items = adv_items(spark, sf_dir).observe(obs, F.count(F.lit(1)).alias("n_items_seen"))
+    entries = flatten_item(items, [f for f in ITEM_FIELDS if f in items.columns])
+    cid = F.col("cve.CVE_data_meta.ID")
+    known = cid.isNotNull() & (cid != "unknown")
+    doc_len = F.length(advanced_document(entries))
+    return items.agg(F.count(F.lit(1)).cast("bigint").alias("n_items"),
+                     F.count(F.when(known, True)).cast("bigint").alias("n_documents"),
+                     F.round(F.avg(F.when(known, doc_len)), 6).alias("avg_doc_len"))
