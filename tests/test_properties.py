@@ -124,3 +124,12 @@ def test_spread_keeps_pushdown(spark):
     plan = s._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobinPartitioning" in plan and "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
     assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
+
+
+def test_rest_section_pruning_is_exact(spark):
+    from vulnsift.operators.flatten import flatten_item, rest_section, rest_skip
+    from vulnsift.sources.feed import ITEM_FIELDS, adv_items
+    a = adv_items(spark, SF_SMALL)
+    full = rest_section(flatten_item(a, ITEM_FIELDS))
+    pruned = rest_section(flatten_item(a, ITEM_FIELDS, skip=rest_skip))
+    assert a.where(full != pruned).count() == 0

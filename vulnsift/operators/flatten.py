@@ -46,11 +46,20 @@ def _child_key(parent: Column | None, name: str) -> Column:
     return F.lit(name) if parent is None else F.concat(parent, F.lit(" " + name))
 
 
-def flatten_entries(c: Column, dt: DataType, key: Column | None = None) -> Column:
+def flatten_entries(c: Column, dt: DataType, key: Column | None = None, static_key: str = "",
+                    skip=None) -> Column:
     """``array<struct<key,value>>`` of every leaf under ``c`` (keys joined by a blank;
-    list items get ``_i``; a non-empty all-string list is one entry joined by blanks)."""
+    list items get ``_i``; a non-empty all-string list is one entry joined by blanks).
+
+    ``skip(static_key)`` may prune whole struct fields at plan time: a key only grows by
+    appending, so a field whose static key is excluded has only excluded descendants."""
     if isinstance(dt, StructType):
-        kids = [flatten_entries(c[f.name], f.dataType, _child_key(key, f.name)) for f in dt.fields]
+        kids = []
+        for f in dt.fields:
+            sk = f.name if not static_key else f"{static_key} {f.name}"
+            if skip is not None and skip(sk):
+                continue
+            kids.append(flatten_entries(c[f.name], f.dataType, _child_key(key, f.name), sk, skip))
         body = F.concat(*kids) if kids else _empty()
         return body if key is None else F.when(c.isNull(), _empty()).otherwise(body)
     if isinstance(dt, MapType):
@@ -101,10 +110,15 @@ def flatten_json(json_text: Column, root_key: str) -> Column:
     return dedupe_entries(es)
 
 
-def flatten_item(df: DataFrame, fields: list[str]) -> Column:
+def flatten_item(df: DataFrame, fields: list[str], skip=None) -> Column:
     """F1 over several top-level columns as one flattened entry list, in column order."""
     st = StructType([df.schema[f] for f in fields])
-    return flatten_entries(F.struct(*[F.col(f) for f in fields]), st)
+    return flatten_entries(F.struct(*[F.col(f) for f in fields]), st, skip=skip)
+
+
+def rest_skip(static_key: str) -> bool:
+    """Plan-time form of the rest-section key exclusion (same case-sensitive fragments)."""
+    return any(frag in static_key for frag in REST_SKIP_KEYS)
 
 
 def _cleaned(entries: Column) -> Column:
@@ -231,8 +245,12 @@ def sparse_documents(items: DataFrame, mode: str = "advanced", fields: list[str]
     ``mode`` picks the builder explicitly: ``"advanced"`` (F13) or ``"basic"`` (F4)."""
     from vulnsift.sources.feed import ITEM_FIELDS
     fields = fields or [f for f in ITEM_FIELDS if f in items.columns]
-    entries = flatten_item(items, fields)
-    doc = advanced_document(entries) if mode == "advanced" else basic_document(entries)
+    if mode == "advanced":
+        # the rest section only keeps keys without the skip fragments: prune those subtrees
+        # from the flatten expression itself (the runtime key filter still applies)
+        doc = advanced_document(flatten_item(items, fields, skip=rest_skip))
+    else:
+        doc = basic_document(flatten_item(items, fields))
     cid = F.col("cve.CVE_data_meta.ID")
     out = items.where(cid.isNotNull() & (F.coalesce(cid, F.lit("unknown")) != "unknown"))
     keep = [c for c in ("pos",) if c in items.columns]

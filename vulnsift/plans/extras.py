@@ -9,7 +9,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from vulnsift.functions import text as T
-from vulnsift.operators.flatten import advanced_document, flatten_item, flatten_json, sparse_documents
+from vulnsift.operators.flatten import advanced_document, flatten_item, flatten_json, rest_skip, sparse_documents
 from vulnsift.plans.feed import ADVANCED_SQL, ADV_SQL
 from vulnsift.plans.registry import query
 from vulnsift.session import checkpoint_dir
@@ -83,7 +83,7 @@ def feed_processing_stats(spark, sf_dir):
     log (G12); being accumulator-based it may over-count after a retry, so it is not the result."""
     obs = Observation("feed_progress")
     items = adv_items(spark, sf_dir).observe(obs, F.count(F.lit(1)).alias("n_items_seen"))
-    entries = flatten_item(items, [f for f in ITEM_FIELDS if f in items.columns])
+    entries = flatten_item(items, [f for f in ITEM_FIELDS if f in items.columns], skip=rest_skip)
     cid = F.col("cve.CVE_data_meta.ID")
     known = cid.isNotNull() & (cid != "unknown")
     doc_len = F.length(advanced_document(entries))
