@@ -159,5 +159,7 @@ def adv_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = it.select(key.alias("pos"), cve.alias("cve"), configurations.alias("configurations"),
                       impact.alias("impact"), ts(F.col("o_orderdate")).alias("publishedDate"),
                       F.when(key % 3 != 0, ts(F.col("o_orderdate"))).alias("lastModifiedDate"))
-    # give the item the exact feed schema (types and nullability of every nested field)
-    return items.select("pos", *[F.col(f).cast(item_schema()[f].dataType).alias(f) for f in ITEM_FIELDS])
+    # no cast to the feed schema here: the types already are the feed's (only nullability flags
+    # differ), and a cast would hide the struct fields from Catalyst - a filter on the id would
+    # then no longer be pushed below the join with the lines
+    return items
