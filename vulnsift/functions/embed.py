@@ -1,6 +1,6 @@
 """Embedding backends (V1-V3).
 
-The reference embeds text with a sentence-transformer on a GPU. No model ships here, so the
+The reference embeds text with a pretrained sentence-embedding model on a GPU. No model ships here, so the
 default backend is a *hashed bag of words*: word tokens, lower-cased, each hashed by md5 into
 ``dim`` buckets, counted, L2-normalised. It is computed as one projection (no shuffle, no
 Python) and has an exact SQL twin, so search results can be checked by an oracle. It is a
