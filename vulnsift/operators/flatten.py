@@ -198,7 +198,6 @@ def references_section() -> Column:
 
 def configurations_section() -> Column:
     """operator, then per match the raw CPE URI, ``vulnerable true`` and version bounds."""
-    from vulnsift.operators.templates import cpe_matches  # noqa: F401  (same node typing)
     nodes = F.coalesce(F.col("configurations.nodes"), F.array().cast(
         "array<struct<operator:string,cpe_match:array<struct<vulnerable:boolean,cpe23Uri:string,"
         "versionStartIncluding:string,versionEndIncluding:string>>>>"))
