@@ -133,3 +133,37 @@ def test_rest_section_pruning_is_exact(spark):
     full = rest_section(flatten_item(a, ITEM_FIELDS))
     pruned = rest_section(flatten_item(a, ITEM_FIELDS, skip=rest_skip))
     assert a.where(full != pruned).count() == 0
+
+
+def _hot_vectors(spark):
+    """A third of the rows share one vector (a hot key); the rest are pseudo-random."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    hot = rng.normal(size=16)
+    rows = []
+    for i in range(600):
+        v = hot if i % 3 == 0 else rng.normal(size=16)
+        rows.append((i, [float(x) for x in v]))
+    return spark.createDataFrame(rows, "id long, v array<double>")
+
+
+def test_ann_split_grid_does_not_change_results(spark):
+    from vulnsift.operators.ann import approx_knn
+    df = _hot_vectors(spark)
+    kw = dict(query_id="id", query_vec="v", corpus_id="id", corpus_vec="v", exclude_self=True)
+    small = sorted(approx_knn(df, df, 5, max_group=8, **kw).collect())
+    large = sorted(approx_knn(df, df, 5, max_group=100_000, **kw).collect())
+    assert small == large and len(small) == 600 * 5
+
+
+def test_exact_knn_ties_break_by_smallest_id(spark):
+    df = _hot_vectors(spark)
+    nn = exact_knn(df.where("id % 3 = 0"), df, 4, query_id="id", query_vec="v", corpus_id="id",
+                   corpus_vec="v", exclude_self=True)
+    got = {}
+    for r in nn.collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id))
+    expect_first = [i for i in range(0, 600, 3)]
+    for q, hits in got.items():
+        ids = [i for _, i in sorted(hits)]
+        assert ids == [i for i in expect_first if i != q][:4]
