@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnsift.llm import chat, pii, sharding
+from vulnsift.llm import bpe, chat, classifier, html_extract, pii, sharding
 from vulnsift.llm.common import table
 from vulnsift.llm.registry import QUERIES, SQL, query  # noqa: F401
 
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """The installed public vocabulary file; any other path can be given to the operator."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
@@ -16,6 +24,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+@query("op3_html_extract")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op5_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query("op6_pii")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
@@ -38,6 +56,11 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id"""
 
 
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op10_chat_format", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
