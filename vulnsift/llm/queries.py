@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnsift.llm import bpe, chat, classifier, html_extract, pii, sharding
+from vulnsift.llm import bpe, chat, classifier, html_extract, near_dedup, pii, quality_rules, sharding
 from vulnsift.llm.common import table
 from vulnsift.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -24,6 +24,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+@query("op1_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.report(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op3_html_extract")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
