@@ -1,0 +1,70 @@
+"""The pipeline against its stages done by brute force on the small tables."""
+
+import hashlib
+import re
+import struct
+
+from pyspark.sql import functions as F
+
+import corpus_pipeline as P
+from tests.conftest import SF_SMALL
+from tests.llm.test_near_dedup import brute_classes
+from tests.llm.test_pii import PLAIN, brute
+from tests.llm.test_quality_rules import brute_base
+from vulnsift.llm import mixing, quality_rules
+from vulnsift.llm.queries import tokenizer_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_stages_and_run(spark):
+    from tokenizers import Tokenizer
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_SMALL}/labels.parquet").collect()}
+    rows = {r.doc_id: r for r in docs.collect()}
+    assert [n for n, _ in P.STAGES] == ["quality_rules", "near_dedup", "pii", "mixing", "bpe"]
+
+    good = P.quality(spark, docs, SF_SMALL)
+    llr = {r.doc_id: r.llr for r in quality_rules.report(docs, quality_rules.fit(docs, spark.read.parquet(
+        f"{SF_SMALL}/labels.parquet"))).collect()}
+    want = {i for i, r in rows.items() if not brute_base(r.text)[-1] and llr[i] >= quality_rules.THRESHOLD}
+    assert good.columns == COLUMNS and {r.doc_id for r in good.collect()} == want
+    assert all(labels.get(i, 1) == 1 for i in want)
+
+    one = P.dedup(spark, good, SF_SMALL)
+    classes = brute_classes([(i, rows[i].text) for i in want])
+    want = {i for i in want if classes[rows[i].text] == i}
+    assert one.columns == COLUMNS and sorted(r.doc_id for r in one.collect()) == sorted(want)
+
+    clean = P.personal_data(spark, one, SF_SMALL)
+    got = {r.doc_id: r for r in clean.collect()}
+    assert clean.columns == COLUMNS and set(got) == want
+    for i, r in got.items():
+        assert not brute(r.text) and r.n_chars == len(r.text)
+        if not any(re.search(p, rows[i].text) for p in PLAIN.values()) and "token = " not in rows[i].text:
+            assert r.text == rows[i].text
+        assert (r.lang, r.source) == (rows[i].lang, rows[i].source)
+
+    drawn = P.mix(spark, clean, SF_SMALL)
+    kept = {r.doc_id for r in mixing.report(clean).where("kept").collect()}
+    assert drawn.columns == COLUMNS and {r.doc_id for r in drawn.collect()} == kept and kept < want
+
+    library = Tokenizer.from_file(tokenizer_path())
+    out = {r.doc_id: r for r in P.run(spark, SF_SMALL).collect()}
+    assert set(out) == kept
+    for i, r in out.items():
+        ids = library.encode(got[i].text, add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(got[i].text.encode()).hexdigest()
+
+
+def test_stages_take_odd_tables(spark):
+    rows = [(None, None, None, None, None, 1.0), (1, "", "en", "s", 0, 2.0), (1, "", "en", "s", 0, 2.0),
+            (2, "w " * 30000, "en", None, 3, None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept double")
+    for df in (odd, odd.where(F.lit(False))):
+        for _, stage in P.STAGES[:-1]:
+            out = stage(spark, df, SF_SMALL)
+            assert out.columns == odd.columns
+            out.collect()
+        assert P.tokens(spark, df, SF_SMALL).count() == df.count()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnsift.llm import bpe, chat, classifier, html_extract, near_dedup, pii, quality_rules, sharding, spotsigs
+from vulnsift.llm import bpe, chat, classifier, html_extract, mixing, near_dedup, pii, quality_rules, sharding, spotsigs
 from vulnsift.llm.common import table
 from vulnsift.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -72,6 +72,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.against_next(table(spark, sf_dir, "documents"))
 
 
+@query("op8_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
