@@ -117,13 +117,22 @@ def test_feed_dates_ignore_session_time_zone(spark):
     assert utc == other
 
 
-def test_spread_keeps_pushdown(spark):
-    from vulnsift.sources.tables import spread
-    df = spark.read.parquet(f"{SF_MID}/documents.parquet")
-    s = spread(df, min_bytes=1).where(F.col("lang") == "en").select("doc_id")
-    plan = s._jdf.queryExecution().executedPlan().toString()
-    assert "RoundRobinPartitioning" in plan and "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan
-    assert "ReadSchema: struct<doc_id:bigint,lang:string>" in plan
+def test_tables_are_read_as_they_are(spark):
+    from vulnsift.sources.tables import table
+    plan = table(spark, SF_SMALL, "documents").where(F.col("lang") == "en").select("doc_id") \
+        ._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "EqualTo(lang,en)" in plan
+
+
+def test_cluster_without_checkpoint_folder_is_refused():
+    from types import SimpleNamespace
+
+    from vulnsift.session import checkpoint_dir
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]", "k8s://x"):
+        fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None),
+                               sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+        with pytest.raises(RuntimeError):
+            checkpoint_dir(fake)
 
 
 def test_rest_section_pruning_is_exact(spark):

@@ -1,6 +1,4 @@
-"""Text expressions against fresh Python re-implementations of the reference semantics."""
-
-import re
+"""Text expressions against character walks and lists worked out by hand."""
 
 from pyspark.sql import functions as F
 
@@ -8,18 +6,16 @@ from tests.conftest import SF_MID
 from vulnsift.functions import text as T
 
 
-def py_clean(text):
-    if not text:
-        return ""
-    text = re.sub(r"[^\w\s\.\-@/:]", " ", str(text))
-    text = re.sub(r"\s+", " ", text)
-    return text.lower().strip()
-
-
-def py_tech(text):
-    pattern = "|".join(T.TECH_TOKEN_ALTERNATIVES)
-    toks = [t.lower() for t in re.findall(pattern, text) if len(t) > 2]
-    return [t for t in toks if t not in set(T.STOP_WORDS_EN)]
+def walked(text):
+    """Character by character: letters, digits, numerals, ``_`` and the five marks stay, all else parts words."""
+    words, word = [], []
+    for ch in text + " ":
+        if ch.isalnum() or ch in "_.-@/:":
+            word.append(ch)
+        elif word:
+            words.append("".join(word))
+            word = []
+    return " ".join(words).lower()
 
 
 LITERALS = ["CVE-2021-44228 in Apache 2.4.1 at 192.168.1.10 via HTTP and SQL; my_var x",
@@ -33,16 +29,30 @@ def _docs(spark):
     return d.unionByName(lit)
 
 
-def test_clean_text_matches_python(spark):
+def test_clean_text_equals_a_character_walk(spark):
     rows = _docs(spark).select("text", T.clean_text("text").alias("c")).collect()
-    bad = [r.text[:60] for r in rows if py_clean(r.text) != r.c]
+    bad = [r.text[:60] for r in rows if walked(r.text) != r.c]
     assert not bad, bad[:3]
 
 
-def test_tech_tokenizer_matches_python(spark):
-    rows = _docs(spark).select("text", T.tech_tokens("text").alias("t")).collect()
-    bad = [r.text[:60] for r in rows if py_tech(r.text) != list(r.t)]
-    assert not bad, bad[:3]
+def test_clean_text_by_hand(spark):
+    cases = [("A,b  C!", "a b c"), ("(x)@y.z/1:2", "x @y.z/1:2"), ("#$%", ""), ("a_b\t-\n.", "a_b - ."), ("Ünï—Cödé", "ünï cödé")]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string") \
+        .select("i", T.clean_text("t").alias("c")).orderBy("i").collect()
+    assert [r.c for r in got] == [w for _, w in cases]
+
+
+TECH_BY_HAND = [
+    ("CVE-2021-44228 in Apache 2.4.1", ["cve-2021-44228", "apache 2.4"]),
+    ("192.168.1.10 via HTTP and SQL; my_var x", ["192.168.1", "via", "http", "sql", "my_var"]),
+    ("", []),
+]
+
+
+def test_tech_tokenizer_by_hand(spark):
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TECH_BY_HAND)], "i int, t string") \
+        .select("i", T.tech_tokens("t").alias("t")).orderBy("i").collect()
+    assert [list(r.t) for r in got] == [w for _, w in TECH_BY_HAND]
 
 
 def test_tech_tokenizer_order_quirks(spark):

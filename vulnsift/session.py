@@ -2,8 +2,7 @@
 
 The library never creates a session behind the caller's back; ``local_session`` is
 for tests, the bench and scripts. ``checkpoint_dir`` reads the cluster's shared
-``spark.checkpoint.dir`` and only invents one (under a fresh temp folder) when the
-session has none, which is the test/local case.
+``spark.checkpoint.dir``; only a ``local[n]`` session without one gets a fresh temp folder.
 """
 
 from __future__ import annotations
@@ -76,9 +75,15 @@ def ship_package(spark: SparkSession | None = None) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder of the cluster; set a local one only when unset."""
+    """The shared checkpoint folder that the cluster names in ``spark.checkpoint.dir``.
+
+    A temporary folder is made only for a session whose driver and executors are one process
+    (``local[n]``); on any cluster an unset folder is an error, because executors could not read it."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is not set on {master}: name a folder all executors share")
         d = tempfile.mkdtemp(prefix="vulnsift-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
