@@ -89,20 +89,51 @@ def test_save_documents_empty_guard(spark, tmp_path):
     assert save_documents(empty, str(tmp_path / "out")) is None
 
 
-def test_dedupe_entries_last_value_first_position(spark):
-    from vulnsift.operators.flatten import dedupe_entries
-    df = spark.createDataFrame([([("a b", "1"), ("c", "2"), ("a b", "3")],)],
-                               "e array<struct<key:string,value:string>>")
-    got = [(x.key, x.value) for x in df.select(dedupe_entries(F.col("e")).alias("d")).first().d]
-    assert got == list(dict([("a b", "1"), ("c", "2"), ("a b", "3")]).items())
-
-
-def test_flatten_json_keeps_key_order(spark):
+def test_flatten_json_whole_items(spark):
     from vulnsift.operators.flatten import flatten_json
-    df = spark.createDataFrame([('{"z": 1, "a": "x", "m": true}',), ("not json",)], "j string")
-    got = [[(x.key, x.value) for x in r.e] for r in df.select(flatten_json(F.col("j"), "p").alias("e")).collect()]
-    assert got[0] == [("p z", "1"), ("p a", "x"), ("p m", "true")]
-    assert got[1] == []
+    cases = [('{"z": 1, "a": "x", "m": true, "n": null}', "p", [("p z", "1"), ("p a", "x"), ("p m", "True"), ("p n", "None")]),
+             ('{"a":{"b":1}}', "", [("a b", "1")]),
+             ('{"a":{"b":1},"c":2,"a b":3}', "", [("a b", "3"), ("c", "2")]),
+             ('{"l":["x","y"],"e":[],"o":{},"m":["x",1,null,{"k":[{"v":9.80}]}]}', "",
+              [("l", "x y"), ("m_0", "x"), ("m_1", "1"), ("m_2", "None"), ("m_3 k_0 v", "9.8")]),
+             ('{"k":1,"k":2}', "", [("k", "2")]), ("not json", "p", []), (None, "p", []), ("{}", "p", [])]
+    for text, root, want in cases:
+        df = spark.createDataFrame([(text,)], "j string")
+        assert [(x.key, x.value) for x in df.select(flatten_json(F.col("j"), root).alias("e")).first().e] == want
+
+
+def test_feed_files_malformed_and_several(spark, tmp_path):
+    """A cut file and mis-typed items are reported; pairs over two files are numbered without gaps."""
+    import json
+
+    from vulnsift.operators.pairs import numbered_pair_set
+    from vulnsift.sources.feed import feed_rejects, read_feed
+    item = lambda i: {"cve": {"CVE_data_meta": {"ID": f"CVE-{i}"}, "description": {"description_data": [{"lang": "en", "value": "d"}]}}}
+    (tmp_path / "a.json").write_text(json.dumps({"CVE_Items": [item(1), item(2)]}))
+    (tmp_path / "b.json").write_text(json.dumps({"CVE_Items": [item(3), 5, item(4), {"cve": "x"}, None]}))
+    (tmp_path / "c.json").write_text(json.dumps({"CVE_Items": [item(5)] * 5})[:-30])
+    (tmp_path / "d.json").write_text("{}")
+    items = read_feed(spark, str(tmp_path))
+    assert sorted(r.ID for r in items.select("cve.CVE_data_meta.ID").collect()) == ["CVE-1", "CVE-2", "CVE-3", "CVE-4"]
+    bad = sorted((r.source_file[-6:], r.pos, r.reject) for r in feed_rejects(spark, str(tmp_path)).collect() if r.pos is not None)
+    assert bad == [("b.json", 1, "malformed item"), ("b.json", 3, "malformed item"), ("b.json", 4, "malformed item")]
+    assert [r.reject for r in feed_rejects(spark, str(tmp_path)).collect() if r.pos is None] == ["malformed file"]
+    general = spark.createDataFrame([("what", "this"), ("who", "that")], "query string, passage string")
+    pairs = numbered_pair_set(general, items).collect()
+    assert sorted(r.row for r in pairs) == list(range(2 * 2 + 4 * 6))
+    assert len({(r.id, r.query) for r in pairs if r.src == 1}) <= 24 and {r.id for r in pairs if r.src == 1} == {f"CVE-{i}" for i in range(1, 5)}
+
+
+def test_knn_large_query_sets_and_repeated_ids(spark):
+    import numpy as np
+    rng = np.random.default_rng(0)
+    v = rng.normal(size=(300, 8))
+    rows = [(i % 40 if i < 200 else 7, [float(x) for x in v[i]]) for i in range(300)] + [(7, None), (3, [float(x) for x in v[3]])]
+    e = spark.createDataFrame(rows, "id long, v array<double>")
+    kw = dict(query_id="id", query_vec="v", corpus_id="id", corpus_vec="v", exclude_self=True)
+    whole = sorted(exact_knn(e, e, 3, **kw).collect(), key=str)
+    grid = sorted(exact_knn(e, e, 3, block_bytes=2000, **kw).collect(), key=str)
+    assert whole == grid and len(whole) == 900      # 300 different query rows
 
 
 def test_feed_dates_ignore_session_time_zone(spark):

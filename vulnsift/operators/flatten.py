@@ -5,17 +5,21 @@ the ``StructType`` once and emits one native expression (``transform``/``concat`
 that Spark evaluates per row in the JVM - no Python per row, no shuffle. Entries keep feed key
 order as ``array<struct<key, value>>`` (a map would lose order).
 
-Typed-schema note: a typed row cannot tell an absent key from an explicit JSON null, so null
-struct fields and null scalars are treated as absent (the reference would print ``None`` for
-an explicit null). Duplicate flattened keys (F2) cannot arise from a fixed schema.
+A typed row cannot tell an absent key from an explicit JSON null, so null struct fields and scalars are
+treated as absent there. Feed files carry each item's raw JSON beside the typed struct, and ``flatten_json``
+flattens that: undeclared keys, explicit nulls (``None``) and repeated flattened keys (F2) included.
 """
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, DataType, MapType, StringType, StructType)
 
+from vulnsift.session import ship_package
 from vulnsift.functions.text import clean_text, py_bool_str, py_list_repr
 
 ENTRY_TYPE = "array<struct<key:string,value:string>>"
@@ -85,29 +89,38 @@ def flatten_entries(c: Column, dt: DataType, key: Column | None = None, static_k
     return F.when(c.isNull(), _empty()).otherwise(_entry(key, _scalar_text(c, dt)))
 
 
-def dedupe_entries(entries: Column) -> Column:
-    """``dict(items)`` semantics - one entry per key, at the position of its first
-    occurrence, holding the value of its last occurrence."""
-    from vulnsift.functions.embed import let
-
-    def body(es):
-        keys = F.transform(es, lambda e: e["key"])
-        return let(keys, lambda ks: F.filter(
-            F.transform(es, lambda e, i: F.struct(
-                e["key"].alias("key"),
-                F.element_at(F.filter(es, lambda x: x["key"] == e["key"]), -1)["value"].alias("value"),
-                (F.array_position(ks, e["key"]) == i + 1).alias("first"))),
-            lambda s: s["first"]))
-    return F.transform(let(entries, body), lambda s: F.struct(s["key"].alias("key"), s["value"].alias("value")))
-
-
-def flatten_json(json_text: Column, root_key: str) -> Column:
-    """F1 schema-free fallback for flat JSON objects: ``from_json`` to an ordered
-    ``map<string,string>`` (key order kept), entries ``root_key <key>``, duplicates per F2."""
-    m = F.from_json(json_text, "map<string,string>")
-    es = F.transform(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,string>"))),
-                     lambda e: F.struct(F.concat(F.lit(root_key + " "), e["key"]).alias("key"), e["value"].alias("value")))
-    return dedupe_entries(es)
+def _leaves(root, key: str) -> dict[str, str]:
+    """Flattened entries of one parsed JSON value, walked with an explicit stack (deep nesting is no recursion)."""
+    out: dict[str, str] = {}
+    todo = [(key, root)]
+    while todo:
+        k, v = todo.pop()
+        if isinstance(v, dict):
+            todo.extend((f"{k} {name}" if k else name, child) for name, child in reversed(v.items()))
+        elif isinstance(v, list):
+            if v and all(type(x) is str for x in v):
+                out[k] = " ".join(v)
+            else:
+                todo.extend((f"{k}_{i}", x if isinstance(x, dict) else str(x)) for i, x in reversed(list(enumerate(v))))
+        else:
+            out[k] = str(v)
+    return out
+
+
+def flatten_json(json_text: Column, root_key: str = "") -> Column:
+    """F1/F2 of a raw JSON value, any keys at any depth, in text order; a batch Arrow function, because an ordered,
+    schema-free walk is no built-in. A repeated flattened key keeps its first place and last value; null prints
+    ``None``; null and malformed text give no entries (F16)."""
+    @F.pandas_udf(ENTRY_TYPE)
+    def entries(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                value = json.loads(t) if t is not None else {}
+            except (ValueError, RecursionError):
+                value = {}
+            return [{"key": k, "value": v} for k, v in _leaves(value, root_key).items()]
+        return texts.map(one)
+    return entries(json_text)
 
 
 def flatten_item(df: DataFrame, fields: list[str], skip=None) -> Column:
@@ -244,7 +257,11 @@ def sparse_documents(items: DataFrame, mode: str = "advanced", fields: list[str]
     ``mode`` picks the builder explicitly: ``"advanced"`` (F13) or ``"basic"`` (F4)."""
     from vulnsift.sources.feed import ITEM_FIELDS
     fields = fields or [f for f in ITEM_FIELDS if f in items.columns]
-    if mode == "advanced":
+    if "raw" in items.columns:                  # whole feed items: every key, declared or not
+        ship_package(items.sparkSession)
+        entries = flatten_json(F.col("raw"))
+        doc = advanced_document(entries) if mode == "advanced" else basic_document(entries)
+    elif mode == "advanced":
         # the rest section only keeps keys without the skip fragments: prune those subtrees
         # from the flatten expression itself (the runtime key filter still applies)
         doc = advanced_document(flatten_item(items, fields, skip=rest_skip))

@@ -15,7 +15,7 @@ from vulnsift.plans.registry import query
 from vulnsift.session import checkpoint_dir
 from vulnsift.sinks.csv import save_documents
 from vulnsift.sources.delimited import read_semicolon_unquoted
-from vulnsift.sources.feed import ITEM_FIELDS, adv_items
+from vulnsift.sources.feed import ITEM_FIELDS, adv_items, feed_rejects, read_feed
 from vulnsift.sources.tables import table
 
 
@@ -62,15 +62,17 @@ _SW_SQL = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS
 @query("content_token_counts", ops=("J5", "W8", "X4", "X6"), sql=f"""
 WITH t AS (SELECT doc_id, lower(unnest(list_filter(regexp_split_to_array(text, '{T.SPACE_RUN}'),
            lambda x: x <> ''))) AS term FROM documents)
-SELECT doc_id, CAST(count(*) AS BIGINT) AS n_content FROM t WHERE term NOT IN {_SW_SQL} GROUP BY doc_id""")
+SELECT d.doc_id, CAST(count(t.term) AS BIGINT) AS n_content FROM documents d
+LEFT JOIN t ON t.doc_id = d.doc_id AND t.term NOT IN {_SW_SQL} GROUP BY d.doc_id""")
 def content_token_counts(spark, sf_dir):
-    """Lower-cased white-space tokens minus stop words (a broadcast anti-join with the fixed
-    179-word list), counted per document."""
+    """Lower-cased white-space tokens minus stop words (a broadcast join with the fixed 179-word list), counted
+    per document; a document without any other word counts 0."""
     d = table(spark, sf_dir, "documents")
-    toks = d.select("doc_id", F.explode(F.transform(T.split_ws("text"), lambda t: F.lower(t))).alias("term"))
-    sw = spark.createDataFrame([(w,) for w in T.STOP_WORDS_EN], "term string")
-    kept = toks.join(F.broadcast(sw), "term", "left_anti")
-    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("n_content"))
+    toks = d.select("doc_id", F.explode_outer(F.transform(T.split_ws("text"), lambda t: F.lower(t))).alias("term"))
+    sw = spark.createDataFrame([(w, True) for w in T.STOP_WORDS_EN], "term string, stop boolean")
+    marked = toks.join(F.broadcast(sw), "term", "left")
+    return marked.groupBy("doc_id").agg(
+        F.count(F.when(F.col("stop").isNull(), F.col("term"))).cast("bigint").alias("n_content"))
 
 
 @query("feed_processing_stats", ops=("G12", "G8", "G9", "W1", "W2"), sql=f"""
@@ -90,3 +92,63 @@ def feed_processing_stats(spark, sf_dir):
     return items.agg(F.count(F.lit(1)).cast("bigint").alias("n_items"),
                      F.count(F.when(known, True)).cast("bigint").alias("n_documents"),
                      F.round(F.avg(F.when(known, doc_len)), 6).alias("avg_doc_len"))
+
+
+def _whole_item():
+    """An item with keys no schema declares: nested lists of objects, explicit nulls, and two ways to the key ``a b``."""
+    o = F.col
+    return F.struct(
+        F.struct(F.lit("4.0").alias("data_version"),
+                 F.struct(F.concat(F.lit("CVE-"), o("o_orderkey").cast("string")).alias("ID"), F.lit("x@example.com").alias("ASSIGNER"),
+                          o("o_orderstatus").alias("STATE")).alias("CVE_data_meta"),
+                 F.struct(F.array(F.struct(F.lit("MISC").alias("refsource"), F.array(o("o_orderstatus"), F.lit("T")).alias("tags")))
+                          .alias("reference_data")).alias("references")).alias("cve"),
+        F.struct(F.struct(F.lit("first").alias("b"), F.lit(True).alias("flag")).alias("a"),
+                 F.array(F.struct(o("o_custkey").alias("n"), F.array(F.struct(o("o_orderpriority").alias("p"))).alias("children")))
+                 .alias("nodes")).alias("extra"),
+        F.lit("last").alias("extra a b"), F.lit(None).cast("string").alias("lastModifiedDate"),
+        F.array(F.lit(1), F.lit(2)).alias("numbers"))
+
+
+def _write_whole(spark, sf_dir: str, name: str, damaged: bool) -> str:
+    """The items as feed files of 500 order keys each. ``damaged``: every third file is cut in half, and every
+    fiftieth item is no item."""
+    path = _scratch(spark, name)
+    text = F.to_json(_whole_item(), {"ignoreNullFields": "false"})
+    if damaged:
+        text = F.when(F.col("o_orderkey") % 50 == 0, F.lit('{"cve": 5}')).otherwise(text)
+    o = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 500).alias("_file"),
+                                              F.struct("o_orderkey", text.alias("t")).alias("x"))
+    doc = F.concat(F.lit('{"CVE_Items": ['), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), ", "), F.lit("]}"))
+    files = o.groupBy("_file").agg(doc.alias("value"))
+    if damaged:
+        files = files.withColumn("value", F.when(F.col("_file") % 3 == 1, F.expr("left(value, cast(length(value) / 2 as int))"))
+                                 .otherwise(F.col("value")))
+    files.write.partitionBy("_file").text(path)
+    return path
+
+
+@query("feed_whole_items", ops=("S2", "F1", "F2", "F4", "W9"), sql=f"""
+SELECT 'cve-' || CAST(o_orderkey AS VARCHAR) AS id_cve, {T.clean_text_sql("""'cve data_version 4.0 cve CVE_data_meta ID CVE-'
+  || CAST(o_orderkey AS VARCHAR) || ' cve CVE_data_meta ASSIGNER x@example.com cve CVE_data_meta STATE ' || o_orderstatus
+  || ' cve references reference_data_0 refsource MISC cve references reference_data_0 tags ' || o_orderstatus || ' T'
+  || ' extra a b last extra a flag True extra nodes_0 n ' || CAST(o_custkey AS VARCHAR)
+  || ' extra nodes_0 children_0 p ' || o_orderpriority || ' lastModifiedDate None numbers_0 1 numbers_1 2'""")} AS documents
+FROM orders""")
+def feed_whole_items(spark, sf_dir):
+    """Basic documents of plain JSON feed files whose items have undeclared keys."""
+    return sparse_documents(read_feed(spark, _write_whole(spark, sf_dir, "whole", False)), mode="basic").drop("pos")
+
+
+@query("feed_rejects", ops=("F16", "S2"), sql="""
+WITH o AS (SELECT o_orderkey // 500 AS f, o_orderkey % 50 = 0 AS bad FROM orders)
+SELECT count(DISTINCT CASE WHEN f % 3 = 1 THEN f END) AS bad_files,
+       count(*) FILTER (f % 3 <> 1 AND bad) AS bad_items, count(*) FILTER (f % 3 <> 1 AND NOT bad) AS good_items FROM o""")
+def feed_rejects_counts(spark, sf_dir):
+    """A feed with cut files and malformed items: what is read, and what is reported instead of vanishing."""
+    path = _write_whole(spark, sf_dir, "damaged", True)
+    bad = feed_rejects(spark, path).select(F.col("reject"), F.lit(1).alias("n"))
+    good = read_feed(spark, path).select(F.lit("good").alias("reject"), F.lit(1).alias("n"))
+    count = lambda what: F.count(F.when(F.col("reject") == what, 1)).cast("bigint")
+    return bad.unionByName(good).agg(count("malformed file").alias("bad_files"), count("malformed item").alias("bad_items"),
+                                     count("good").alias("good_items"))

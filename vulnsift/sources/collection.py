@@ -17,6 +17,11 @@ from pyspark.sql.utils import AnalysisException
 DEFAULT_METADATA = {"hnsw:space": "cosine"}
 
 
+def _missing(e: AnalysisException) -> bool:
+    """Only a path that is not there reads as an empty collection; any other failure is one."""
+    return e.getCondition() == "PATH_NOT_FOUND"
+
+
 class Collection:
     def __init__(self, spark: SparkSession, root: str, name: str):
         self.spark, self.name = spark, name
@@ -44,14 +49,18 @@ class Collection:
     def metadata(self) -> dict[str, str] | None:
         try:
             rows = self.spark.read.schema("key string, value string").json(self.meta_path).collect()
-        except AnalysisException:
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
             return None
         return {r.key: r.value for r in rows} if rows else None
 
     def read(self) -> DataFrame:
         try:
             return self.spark.read.parquet(self.data_path)
-        except AnalysisException:
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
             return self.spark.createDataFrame([], "id string, document string, embedding array<float>, pos bigint")
 
     def add(self, rows: DataFrame, order_col: str = "pos") -> None:

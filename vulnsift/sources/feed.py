@@ -63,15 +63,47 @@ def _feed_struct_ddl() -> str:
     return "STRUCT<" + ", ".join(p.replace(" ", ": ", 1) for p in parts) + ">"
 
 
+CORRUPT = "_corrupt_record"
+
+
+def raw_feed_schema(items_col: str = "CVE_Items") -> StructType:
+    """Items as raw JSON text (key order, undeclared keys and explicit nulls are kept), plus the column that
+    receives a file that is no JSON document."""
+    return StructType.fromDDL(f"{items_col} ARRAY<STRING>, {CORRUPT} STRING")
+
+
+def feed_options(reader):
+    return reader.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+
+
+def feed_rows(files: DataFrame, items_col: str = "CVE_Items") -> DataFrame:
+    """Raw feed files -> ``source_file, pos, raw``, item fields and ``reject`` (null for a good item).
+
+    A malformed file is one row without a position; a file without ``items_col`` gives no row."""
+    broken = F.col(CORRUPT).isNotNull()
+    seats = F.when(broken, F.array(F.lit(None).cast("string"))).otherwise(F.coalesce(items_col, F.array().cast("array<string>")))
+    rows = files.select(F.input_file_name().alias("source_file"), broken.alias("_broken"), F.posexplode(seats).alias("pos", "raw"))
+    item = F.from_json("raw", StructType.fromDDL(f"{ITEM_DDL}, {CORRUPT} STRING"), {"columnNameOfCorruptRecord": CORRUPT})
+    typed = rows.withColumn("item", item)
+    reject = F.when(F.col("_broken"), "malformed file") \
+        .when(F.col("item").isNull() | F.col(f"item.{CORRUPT}").isNotNull() | F.col("item.cve").isNull(), "malformed item")
+    return typed.select("source_file", F.when(~F.col("_broken"), F.col("pos").cast("bigint")).alias("pos"),
+                        *[F.col(f"item.{f}").alias(f) for f in ITEM_FIELDS], "raw", reject.alias("reject"))
+
+
 def read_feed(spark: SparkSession, paths, items_col: str = "CVE_Items") -> DataFrame:
-    """Feed files (``.json`` or ``.json.gz``) -> one row per item, in file order.
-
-    ``pos`` is the 0-based position of the item in its file; a missing ``CVE_Items`` gives no
-    rows (lenient form). Columns: ``source_file, pos`` and the item fields."""
-    raw = spark.read.schema(feed_schema(items_col)).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
-    rows = raw.select(F.input_file_name().alias("source_file"),
-                      F.posexplode(F.coalesce(F.col(items_col), F.array())).alias("pos", "item"))
-    return rows.select("source_file", F.col("pos").cast("bigint").alias("pos"), "item.*")
+    """Feed files (``.json`` or ``.json.gz``) -> one row per good item, in file order.
+
+    ``pos`` is the 0-based position of the item in its file, ``raw`` its JSON text. What is left out
+    is in :func:`feed_rejects`."""
+    files = feed_options(spark.read.schema(raw_feed_schema(items_col))).json(paths)
+    return feed_rows(files, items_col).where("reject IS NULL").drop("reject")
+
+
+def feed_rejects(spark: SparkSession, paths, items_col: str = "CVE_Items") -> DataFrame:
+    """F16: ``source_file, pos, reject`` of malformed files (no position) and malformed items."""
+    files = feed_options(spark.read.schema(raw_feed_schema(items_col))).json(paths)
+    return feed_rows(files, items_col).where("reject IS NOT NULL").select("source_file", "pos", "reject")
 
 
 def read_feed_lines(spark: SparkSession, paths) -> DataFrame:

@@ -18,24 +18,27 @@ from pyspark.sql import functions as F
 from vulnsift.functions.embed import hashed_embedding
 from vulnsift.operators.templates import dense_documents
 from vulnsift.sources.collection import Collection
-from vulnsift.sources.feed import feed_schema
+from vulnsift.sources.feed import feed_options, feed_rows, raw_feed_schema
 
 
 def feed_stream(spark: SparkSession, feed_dir: str) -> DataFrame:
-    raw = spark.readStream.schema(feed_schema()).option("multiLine", True).json(feed_dir)
-    items = raw.select(F.posexplode(F.coalesce("CVE_Items", F.array())).alias("pos", "item"))
-    return items.select(F.col("pos").cast("bigint").alias("pos"), "item.*")
+    """Every item of new files, malformed ones and files marked in ``reject``."""
+    return feed_rows(feed_options(spark.readStream.schema(raw_feed_schema())).json(feed_dir))
 
 
 def ingest_feed(spark: SparkSession, feed_dir: str, collection: Collection, checkpoint_location: str,
-                available_now: bool = True):
-    """Start (and, with ``available_now``, finish) the ingest of every feed file in ``feed_dir``."""
+                available_now: bool = True, rejects_path: str | None = None):
+    """Start (and, with ``available_now``, finish) the ingest of every feed file in ``feed_dir``; with ``rejects_path``,
+    malformed files and items are appended there as Parquet."""
 
     def add_batch(batch: DataFrame, epoch_id: int) -> None:
-        docs = dense_documents(batch)
+        docs = dense_documents(batch.where("reject IS NULL"))
         rows = docs.select(F.col("cve_id").alias("id"), F.col("document"),
                            hashed_embedding("document").alias("embedding"), "pos")
         collection.add(rows)
+        if rejects_path:
+            batch.where("reject IS NOT NULL").select("source_file", "pos", "reject") \
+                .write.mode("overwrite").parquet(f"{rejects_path.rstrip('/')}/batch={epoch_id}")
 
     w = feed_stream(spark, feed_dir).writeStream.foreachBatch(add_batch) \
         .option("checkpointLocation", checkpoint_location)
