@@ -207,3 +207,27 @@ def test_exact_knn_ties_break_by_smallest_id(spark):
     for q, hits in got.items():
         ids = [i for _, i in sorted(hits)]
         assert ids == [i for i in expect_first if i != q][:4]
+
+
+def test_blocked_attention_equals_whole_sequences(spark):
+    import numpy as np
+
+    from vulnsift.operators.attention import attention, by_head, concat_heads, project_qkv, sequence_attention
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(32, 48))
+    w = spark.createDataFrame([(r, *[[float(x) for x in m[r, a:a + 16]] for a in (0, 16, 32)]) for r in range(32)],
+                              "r int, wq array<double>, wk array<double>, wv array<double>")
+    x = rng.normal(size=(30, 32))
+    t = spark.createDataFrame([(i % 2, i // 2, [float(v) for v in x[i]]) for i in range(30)], "seq_id long, pos long, vec array<double>")
+    proj = project_qkv(t, w)
+    flat = m[:, :16].reshape(-1)
+    for r in proj.collect():                       # A1, index by index
+        row = x[r.pos * 2 + r.seq_id]
+        for h in range(2):
+            for j in range(16):
+                want = sum(row[16 * h + i] * flat[j * 32 + 16 * h + i] for i in range(16))
+                assert r.q[16 * h + j] == pytest.approx(want)
+    whole = {(r.seq_id, r.pos): r.attn for r in sequence_attention(proj).collect()}
+    blocked = {(r.seq_id, r.pos): r.attn for r in concat_heads(attention(by_head(proj), block=4)).collect()}
+    assert whole.keys() == blocked.keys()
+    assert all(whole[k] == pytest.approx(blocked[k]) for k in whole)

@@ -1,16 +1,15 @@
 """Multi-head scaled dot-product attention over token-vector sequences.
 
-Built as table jobs, intended semantics (the reference kernels take a square root of the score
-and add instead of weighting values; we build ``softmax(q·k / sqrt(16)) · v``):
-
-* A1 projection is relational: tokens are exploded per input dimension, joined to the weight
-  rows (one row per input dimension: a model-size table, broadcast), and the 16-wide q, k, v of
-  each head are 48 ``sum`` aggregates (partial aggregation before the shuffle).
-* A2-A4 never hold a whole sequence in one task: queries and keys are cut into blocks of
-  ``block`` tokens; every (query block, key block) pair of a sequence is one cogroup, scored
-  in numpy into online-softmax partials (row max, sum of exponentials, weighted value sum);
-  partials of all key blocks are merged with a log-sum-exp rescale (window max + sums).
-  Work is the inherent O(L^2) of attention, memory per task is O(block^2).
+Intended semantics (the reference kernels take a square root of the score and add instead of weighting
+values; here it is ``softmax(q·k / sqrt(16)) · v``):
+
+* A1 projection: one matrix product per Arrow batch, no shuffle. A stored weight slice (dim x 16 floats) is read
+  row by row as a 16 x dim matrix, ``W[j, 16h+i]``. The weights are the model: their size is set by the
+  model's parameters, not by the data, and they are sent to the tasks once.
+* ``sequence_attention``: sequences of bounded length, one group each, one shuffle.
+* ``attention``: sequences of any length. Queries and keys are cut into blocks of ``block`` tokens; every (query
+  block, key block) pair is one cogroup, scored into online-softmax partials that a log-sum-exp rescale merges.
+  Work is the inherent O(L^2), memory per task O(block^2).
 """
 
 from __future__ import annotations
@@ -19,27 +18,65 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
+from vulnsift.operators.knn import _vectors
 from vulnsift.session import ship_package
 
 HEAD_DIM = 16
+_WIDE = "q array<double>, k array<double>, v array<double>"
+
+
+def _list(m: np.ndarray) -> pa.Array:
+    m = np.ascontiguousarray(m, dtype=np.float64)
+    offsets = np.arange(len(m) + 1, dtype=np.int32) * (m.shape[1] if m.ndim > 1 else 0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(m.reshape(-1)))
 
 
 def project_qkv(tokens: DataFrame, weights: DataFrame, vec: str = "vec", head_dim: int = HEAD_DIM) -> DataFrame:
-    """A1: ``q/k/v[t, h, j] = Σ_i x[t, h*16 + i] · W[h*16 + i, j (+16, +32)]`` per head.
-
-    ``tokens``: (seq_id, pos, vec array); ``weights``: (r, wq, wk, wv) with one row per input
-    dimension. Result: (seq_id, pos, head, q, k, v) with 16-wide double arrays."""
-    x = tokens.select("seq_id", "pos", F.posexplode(vec).alias("r", "x"))
-    nrows = weights.count()
-    if nrows > 1_000_000:                      # weights are model-sized; refuse to broadcast more
-        raise ValueError("weight table too large to broadcast")
-    j = x.join(F.broadcast(weights), "r").withColumn("head", (F.col("r") / head_dim).cast("int"))
-    aggs = [F.sum(F.col("x") * F.col(m)[i]).alias(f"{m}{i}") for m in ("wq", "wk", "wv") for i in range(head_dim)]
-    p = j.groupBy("seq_id", "pos", "head").agg(*aggs)
-    arr = lambda m: F.array(*[F.col(f"{m}{i}") for i in range(head_dim)])
-    return p.select("seq_id", "pos", "head", arr("wq").alias("q"), arr("wk").alias("k"), arr("wv").alias("v"))
+    """A1: ``q[t, 16h+j] = Σ_i x[t, 16h+i] · W[j, 16h+i]`` for every head, k and v alike.
+
+    ``tokens``: (seq_id, pos, vec array); ``weights``: (r, wq, wk, wv), one row per input dimension.
+    Result: (seq_id, pos, q, k, v), each as wide as the vector."""
+    spark = tokens.sparkSession
+    ship_package(spark)
+    w = weights.orderBy("r").toArrow()
+    dim = w.num_rows
+    held = spark.sparkContext.broadcast([_vectors(w.column(m), head_dim).reshape(head_dim, dim) for m in ("wq", "wk", "wv")])
+
+    def run(batches):
+        for b in batches:
+            x = _vectors(b.column(2), dim).reshape(b.num_rows, -1, head_dim)                  # token, head, i
+            out = [np.einsum("nhi,jhi->nhj", x, m.reshape(head_dim, -1, head_dim)).reshape(b.num_rows, dim) for m in held.value]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(_list, out)], ["seq_id", "pos", "q", "k", "v"])
+
+    return tokens.select("seq_id", F.col("pos").cast("bigint").alias("pos"), vec).mapInArrow(
+        run, f"seq_id {tokens.schema['seq_id'].dataType.simpleString()}, pos bigint, {_WIDE}")
+
+
+def sequence_attention(proj: DataFrame, head_dim: int = HEAD_DIM) -> DataFrame:
+    """A2-A5 for sequences of bounded length: (seq_id, pos, attn) with the heads side by side."""
+    kind = proj.schema["seq_id"].dataType.simpleString()
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("pos")
+        wide = len(t.column("q")[0])
+        q, k, v = (_vectors(t.column(m), wide).reshape(t.num_rows, -1, head_dim) for m in "qkv")
+        s = np.einsum("thd,uhd->htu", q, k) / math.sqrt(head_dim)
+        e = np.exp(s - s.max(axis=2, keepdims=True))
+        o = np.einsum("htu,uhd->thd", e / e.sum(axis=2, keepdims=True), v)
+        return pa.table([t.column("seq_id"), t.column("pos"), _list(o.reshape(t.num_rows, wide))], ["seq_id", "pos", "attn"])
+
+    return proj.groupBy("seq_id").applyInArrow(run, f"seq_id {kind}, pos bigint, attn array<double>")
+
+
+def by_head(proj: DataFrame, head_dim: int = HEAD_DIM) -> DataFrame:
+    """One row per token and head: (seq_id, pos, head, q, k, v)."""
+    heads = F.sequence(F.lit(0), (F.size("q") / head_dim).cast("int") - 1)
+    part = lambda c: F.slice(c, F.col("head") * head_dim + 1, F.lit(head_dim)).alias(c)
+    return proj.withColumn("head", F.explode(heads)).select("seq_id", "pos", "head", part("q"), part("k"), part("v"))
 
 
 def _partials(scale: float):

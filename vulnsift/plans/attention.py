@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vulnsift.functions.vectors import flatten_matrix, vadd, vmul, vslice
-from vulnsift.operators.attention import HEAD_DIM, attention, concat_heads, project_qkv
+from vulnsift.operators.attention import HEAD_DIM, project_qkv, sequence_attention
 from vulnsift.operators.sequence import group_row_index, row_index
 from vulnsift.plans.registry import query
+from vulnsift.session import checkpoint_dir
 from vulnsift.sources.tables import table
 from vulnsift.sources.weights import random_weights, split_qkv, uniform_cell_sql
 
 SEED = 7
+SEQ_LEN = 64         # tokens of a sequence: stretches of a label's vectors
 
 
 def _tokens(spark, sf_dir):
-    """Sequences: vectors grouped by ``label``, ordered by ``vec_id``."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("label").cast("bigint").alias("seq_id"), "vec_id",
+    return e.select(F.col("label").cast("bigint").alias("label"), "vec_id",
                     F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
 
@@ -26,40 +29,43 @@ def _dim(spark, sf_dir) -> int:
 
 
 ATTN_SQL = f"""
-WITH t AS (SELECT label AS seq_id, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos,
-                  CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-xe AS (SELECT seq_id, pos, unnest(range(len(x))) AS r, unnest(x) AS x FROM t),
-w AS (SELECT r, c, {uniform_cell_sql(SEED, 'r', 'c')} AS w
-      FROM range(0, (SELECT max(len(embedding)) FROM embeddings)) a(r), range(0, 48) b(c)),
-p AS (SELECT seq_id, pos, r // 16 AS head, c, sum(x * w) AS val FROM xe JOIN w USING (r) GROUP BY ALL),
-q AS (SELECT seq_id, pos, head, c AS j, val FROM p WHERE c < 16),
-k AS (SELECT seq_id, pos, head, c - 16 AS j, val FROM p WHERE c >= 16 AND c < 32),
-v AS (SELECT seq_id, pos, head, c - 32 AS j, val FROM p WHERE c >= 32),
-s AS (SELECT q.seq_id, q.head, q.pos AS t, k.pos AS u, sum(q.val * k.val) / 4.0 AS s
-      FROM q JOIN k ON q.seq_id = k.seq_id AND q.head = k.head AND q.j = k.j GROUP BY ALL),
-pr AS (SELECT *, exp(s - max(s) OVER (PARTITION BY seq_id, head, t)) AS e FROM s),
-pn AS (SELECT seq_id, head, t, u, e / sum(e) OVER (PARTITION BY seq_id, head, t) AS p FROM pr),
-o AS (SELECT pn.seq_id, pn.t AS pos, pn.head, v.j, sum(pn.p * v.val) AS o FROM pn JOIN v
-      ON v.seq_id = pn.seq_id AND v.head = pn.head AND v.pos = pn.u GROUP BY ALL)
-SELECT CAST(o.seq_id AS BIGINT) AS seq_id, CAST(o.pos AS BIGINT) AS pos, t.vec_id,
+WITH n AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, embedding FROM embeddings),
+t AS (SELECT label, i // {SEQ_LEN} AS seg, i % {SEQ_LEN} AS pos, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM n),
+xe AS (SELECT label, seg, pos, unnest(range(len(x))) AS c, unnest(x) AS x FROM t),
+dm AS (SELECT max(len(embedding)) AS dim FROM embeddings),
+w AS (SELECT m, j, c, {uniform_cell_sql(SEED, '((j * dim + c) // 16)', '((j * dim + c) % 16 + 16 * m)')} AS w
+      FROM dm, range(0, 3) a(m), range(0, 16) b(j), range(0, (SELECT dim FROM dm)) d(c)),
+p AS (SELECT label, seg, pos, c // 16 AS head, m, j, sum(x * w) AS val FROM xe JOIN w USING (c) GROUP BY ALL),
+s AS (SELECT q.label, q.seg, q.head, q.pos AS t, k.pos AS u, sum(q.val * k.val) / 4.0 AS s
+      FROM p q JOIN p k ON q.label = k.label AND q.seg = k.seg AND q.head = k.head AND q.j = k.j
+      WHERE q.m = 0 AND k.m = 1 GROUP BY ALL),
+pr AS (SELECT *, exp(s - max(s) OVER (PARTITION BY label, seg, head, t)) AS e FROM s),
+pn AS (SELECT label, seg, head, t, u, e / sum(e) OVER (PARTITION BY label, seg, head, t) AS p FROM pr),
+o AS (SELECT pn.label, pn.seg, pn.t AS pos, pn.head, v.j, sum(pn.p * v.val) AS o FROM pn JOIN p v
+      ON v.m = 2 AND v.label = pn.label AND v.seg = pn.seg AND v.head = pn.head AND v.pos = pn.u GROUP BY ALL)
+SELECT CAST(o.label AS BIGINT) AS label, CAST(o.seg AS BIGINT) AS segment, CAST(o.pos AS BIGINT) AS pos, t.vec_id,
        list(round(o, 6) ORDER BY head, j) AS attn
-FROM o JOIN t ON t.seq_id = o.seq_id AND t.pos = o.pos GROUP BY o.seq_id, o.pos, t.vec_id"""
+FROM o JOIN t ON t.label = o.label AND t.seg = o.seg AND t.pos = o.pos GROUP BY o.label, o.seg, o.pos, t.vec_id"""
 
 
 @query("attention_pool", ops=("A1", "A2", "A3", "A4", "A5", "J9", "G11", "X14", "S9", "S10", "D16", "D17"),
        sql=ATTN_SQL)
 def attention_pool(spark, sf_dir):
-    """Multi-head attention (heads of 16) over sequences of vectors grouped by label; weights
-    from the seeded generator (dimension x 48: q, k, v slices)."""
+    """Multi-head attention (heads of 16) over stretches of ``SEQ_LEN`` vectors of a label, by id; weights from the
+    seeded generator, stored as a Parquet matrix and read back (dimension x 48: q, k, v slices)."""
+    from vulnsift.sources.weights import read_weights, write_weights
     dim = _dim(spark, sf_dir)
-    t = _tokens(spark, sf_dir)
-    t = group_row_index(t, ["seq_id"], ["vec_id"], out="pos")
-    w = split_qkv(random_weights(spark, dim, 3 * HEAD_DIM, SEED), HEAD_DIM)
-    proj = project_qkv(t.select("seq_id", "pos", "vec"), w)
-    out = concat_heads(attention(proj))
-    return out.join(t.select("seq_id", "pos", "vec_id"), ["seq_id", "pos"]).select(
-        "seq_id", F.col("pos").cast("bigint").alias("pos"), "vec_id",
-        F.transform("attn", lambda x: F.round(x, 6)).alias("attn"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/weights-{uuid.uuid4().hex}"
+    write_weights(random_weights(spark, dim, 3 * HEAD_DIM, SEED), path)
+    w = split_qkv(read_weights(spark, path), HEAD_DIM)
+    t = group_row_index(_tokens(spark, sf_dir), ["label"], ["vec_id"], out="i")
+    t = t.withColumn("seq_id", F.struct("label", F.floor(F.col("i") / SEQ_LEN).alias("segment"))) \
+        .withColumn("pos", F.col("i") % SEQ_LEN)
+    flat = t.select(F.concat_ws(":", "label", "seq_id.segment").alias("seq_id"), "pos", "vec")
+    out = sequence_attention(project_qkv(flat, w))
+    key = t.select(F.concat_ws(":", "label", "seq_id.segment").alias("seq_id"), "pos", "label", "seq_id.segment", "vec_id")
+    return out.join(key, ["seq_id", "pos"]).select(
+        "label", "segment", "pos", "vec_id", F.transform("attn", lambda x: F.round(x, 6)).alias("attn"))
 
 
 @query("vector_algebra", ops=("X15", "X16", "X17", "P17", "G10"), sql="""

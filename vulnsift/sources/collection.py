@@ -66,8 +66,8 @@ class Collection:
     def add(self, rows: DataFrame, order_col: str = "pos") -> None:
         """Append rows whose id is not stored yet; first row per id (by ``order_col``)."""
         cols = ["document", "embedding", order_col]
-        first = rows.groupBy("id").agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("r")) \
+        # ids already stored go first, so that nothing is embedded for them
+        fresh = rows.join(self.read().select("id"), "id", "left_anti")
+        first = fresh.groupBy("id").agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("r")) \
             .select("id", *[F.col(f"r.{c}").alias(c) for c in cols])
-        existing = self.read().select("id")
-        new = first.join(existing, "id", "left_anti")
-        new.write.mode("append").parquet(self.data_path)
+        first.write.mode("append").parquet(self.data_path)
