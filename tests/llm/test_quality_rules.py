@@ -62,6 +62,7 @@ def test_ratio_equals_plain_counting(spark):
     for r in labels.collect():                  # clean documents stay, junk goes
         if not got[r.doc_id].base_failed:
             assert got[r.doc_id].kept == (r.quality == 1)
+    assert Q.report(docs, model).where("kept").count() == sum(r.kept for r in got.values())     # a pushed filter
     kept = Q.keep(docs.withColumn("w", F.lit(1)).withColumn("llr", F.lit("x")), model)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in got.items() if r.kept)
     assert kept.columns == docs.columns + ["w", "llr"]

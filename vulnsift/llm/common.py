@@ -29,6 +29,13 @@ def id_text(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def hash_share(id_col: str, limit: int, total: int) -> Column:
+    """True for about ``limit`` of ``total`` distinct ids, those with the smallest hash. Narrow, unlike an ordered
+    limit, of which every task would send its ``limit`` first rows to the driver."""
+    u = F.shiftrightunsigned(F.xxhash64(id_col), 11) / F.lit(float(1 << 53))
+    return u < F.lit(limit / total if total > limit else 1.0)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a narrow frame with a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)

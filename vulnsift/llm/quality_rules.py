@@ -11,8 +11,8 @@ at most ``BUCKETS`` rows a task (the shuffle does not grow with the texts); the
 of ``BUCKETS`` numbers inside the plan, and scoring and the base counts are a narrow projection:
 no join, no shuffle, so copies and hot sources do not matter.
 
-Counts of the raw corpus cover all documents. The trusted multinomial is fitted on at most ``TRUSTED_ROWS``
-documents, those with the smallest hash of their id; that bound keeps the id list small enough to
+Counts of the raw corpus cover all documents. The trusted multinomial is fitted on about ``TRUSTED_ROWS``
+documents (all, if fewer), those with the smallest hash of their id; that bound keeps the id list small enough to
 broadcast, so that texts need not be shuffled to meet their labels.
 
 Defined cases: null text counts as empty: no words, ``base_failed``, score 0; without trusted rows
@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnsift.llm.common import cut, id_text, let
+from vulnsift.llm.common import cut, hash_share, id_text, let
 
 BUCKETS = 16_384
 SMOOTHING = 1.0
@@ -42,36 +42,48 @@ _TOKEN = r"[\p{L}\p{M}\p{N}_]++|[^\p{L}\p{M}\p{N}_\s]++"
 
 # -- base counts ----------------------------------------------------------------------------------
 
-def _repeat_words(w: Column) -> Column:
-    """Words inside 3-word windows that occur at least twice. Texts without any repeated window
-    stop after one distinct; else equal windows meet by sorting (hash, place)."""
-    def covered(hashes: Column) -> Column:
-        places = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return let(places, lambda s: let(
-            F.filter(s, lambda e, k: ((k > 0) & (F.get(s, k - 1)["h"] == e["h"])) | F.coalesce(
-                F.get(s, k + 1)["h"] == e["h"], F.lit(False))),
-            lambda twice: F.size(F.array_distinct(F.flatten(F.transform(
-                twice, lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)))))))
-
-    windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3),
-                          lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(windows, lambda h: F.when(
-        F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))))
-
-
-def base_counts(df: DataFrame, text: str, words: str) -> list[Column]:
-    """The base counts as columns, from a text column and its array of words."""
-    t, w = F.col(text), F.col(words)
-    lines = let(F.filter(F.split(t, "\n", -1), lambda x: F.translate(x, _SPACE, "") != ""),
-                lambda ls: F.size(ls) - F.size(F.array_distinct(ls)))
-    return [F.size(w).cast("bigint").alias("n_words"),
-            F.length(F.translate(t, _SPACE, "")).cast("bigint").alias("word_chars"),
-            (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("bigint").alias("n_symbols"),
-            lines.cast("bigint").alias("n_dup_lines"), _repeat_words(w).cast("bigint").alias("n_repeat_words")]
+def _windows(w: Column) -> Column:
+    """Hash of every 3-word window."""
+    return F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(F.transform(
+        F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+
+
+def _covered(hashes: Column) -> Column:
+    """Words inside windows that occur at least twice: equal windows meet by sorting (hash, place)."""
+    places = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return let(places, lambda s: let(
+        F.filter(s, lambda e, k: ((k > 0) & (F.get(s, k - 1)["h"] == e["h"])) | F.coalesce(
+            F.get(s, k + 1)["h"] == e["h"], F.lit(False))),
+        lambda twice: F.size(F.array_distinct(F.flatten(F.transform(
+            twice, lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)))))))
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
+    bare = F.trim(text, F.lit(_SPACE))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+", -1))
+
+
+def _repeats(hashes: Column) -> Column:
+    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_covered(hashes)).cast("bigint")
+
+
+def with_word_counts(df: DataFrame, text: Column) -> DataFrame:
+    """Add ``n_words`` and ``n_repeat_words``. The windows are a column between, so that the test whether any
+    repeats runs compiled. The words are bound inside one expression and never a column: should a filter be pushed
+    below the projection, a lambda over a column would split the text anew for every word."""
+    facts = let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), _windows(w).alias("h")))
+    return df.withColumn("_qr", facts).withColumns({"n_words": F.col("_qr.n").cast("bigint"),
+                                                    "n_repeat_words": _repeats(F.col("_qr.h"))}).drop("_qr")
+
+
+def base_counts(text: str) -> list[Column]:
+    """The other base counts of a text column."""
+    t = F.col(text)
+    lines = let(F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+                lambda ls: F.size(ls) - F.size(F.array_distinct(ls)))
+    return [(F.length(t) - F.regexp_count(t, F.lit(r"[\x20\x09-\x0D]"))).cast("bigint").alias("word_chars"),
+            F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
+            lines.cast("bigint").alias("n_dup_lines")]
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -91,9 +103,9 @@ def ngram_buckets(text: Column) -> Column:
 
 
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED_ROWS) -> DataFrame:
-    """At most ``limit`` distinct ids of documents labelled good, by hash of the id."""
-    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct() \
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    """About ``limit`` distinct ids of documents labelled good (all, if fewer), by hash of the id."""
+    ids = cut(labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct())
+    return ids.where(hash_share("doc_id", limit, ids.count()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id",
@@ -122,8 +134,8 @@ def ratio_score(text: Column, model: list[float]) -> Column:
 
 def report(docs: DataFrame, model: list[float], text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Base counts, score and verdict of every document."""
-    base = id_text(docs, text, id_col).withColumn("w", words_of(F.col("text")))
-    counted = base.select("doc_id", *base_counts(base, "text", "w"), ratio_score(F.col("text"), model).alias("llr"))
+    base = with_word_counts(id_text(docs, text, id_col), F.col("text"))
+    counted = base.select("doc_id", "n_words", *base_counts("text"), "n_repeat_words", ratio_score(F.col("text"), model).alias("llr"))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return counted.withColumn("base_failed", failed) \
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD)) \
@@ -133,5 +145,5 @@ def report(docs: DataFrame, model: list[float], text: str = "text", id_col: str
 def keep(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     t = F.coalesce(F.col(text), F.lit(""))
-    passed = let(words_of(t), lambda w: ~base_failed(F.size(w), _repeat_words(w)))
+    passed = let(words_of(t), lambda w: let(_windows(w), lambda h: ~base_failed(F.size(w), _repeats(h))))
     return docs.where(passed).where(ratio_score(t, model) >= THRESHOLD)
