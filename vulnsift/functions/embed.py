@@ -19,18 +19,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vulnsift.functions.text import WORD_RUN
-from vulnsift.functions.vectors import normalize
 from vulnsift.session import ship_package
 
 DEFAULT_DIM = 64
 
 
-def hash_bucket(token: Column, dim: int) -> Column:
-    """First 32 bits of md5(token) modulo ``dim`` (same value as the SQL twin)."""
-    h = F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(h, F.lit(dim))
-
-
 def let(value: Column, fn) -> Column:
     """Bind ``value`` once and use it many times inside ``fn`` (a one-element ``transform``).
 
@@ -39,48 +32,6 @@ def let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def bucket_counts(buckets: Column, dim: int) -> Column:
-    """Dense ``array<double>(dim)`` histogram of int buckets in ``[0, dim)``.
-
-    Sort once, take the distinct values, find the first position of each (runs of equal values
-    are contiguous after the sort) and difference the positions: no per-token allocation."""
-    def from_sorted(srt):
-        def from_distinct(u):
-            firsts = F.transform(u, lambda v: F.array_position(srt, v))
-            nexts = F.concat(F.slice(firsts, 2, F.greatest(F.size(firsts), F.lit(0))),
-                             F.array((F.size(srt) + 1).cast("long")))
-            counts = F.zip_with(firsts, nexts, lambda a, b: (b - a).cast("double"))
-            return let(F.map_from_arrays(u, counts), lambda m: F.transform(
-                F.sequence(F.lit(0), F.lit(dim - 1)),
-                lambda i: F.coalesce(F.try_element_at(m, i.cast("long")), F.lit(0.0))))
-        return let(F.array_distinct(srt), from_distinct)
-    return let(F.array_sort(buckets), from_sorted)
-
-
-_HIST_UDFS: dict = {}
-
-
-def _histogram_udf(dim: int):
-    """Arrow UDF: list<bigint> buckets -> L2-normalised list<double>(dim), one ``bincount`` per
-    Arrow batch (vectorised over all rows of the batch; no per-row Python)."""
-    if dim in _HIST_UDFS:
-        return _HIST_UDFS[dim]
-    @F.arrow_udf("array<double>")
-    def hist(buckets: pa.Array) -> pa.Array:
-        n = len(buckets)
-        offsets = buckets.offsets.to_numpy()
-        vals = buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
-        rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
-        counts = np.bincount(rows * dim + vals, minlength=n * dim).astype(np.float64).reshape(n, dim)
-        norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-        norms[norms == 0] = 1.0
-        out = (counts / norms).ravel()
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * dim, dim, dtype=np.int32)), pa.array(out))
-
-    _HIST_UDFS[dim] = hist
-    return hist
-
-
 _TOKEN_UDFS: dict = {}
 
 
@@ -123,29 +74,13 @@ def hashed_embedding(text, dim: int = DEFAULT_DIM) -> Column:
 
     Tokenising runs in the JVM; the token lists cross to Python once (Arrow), where each
     distinct token of a batch is hashed once and the histogram of the batch is one
-    vectorised ``bincount``. Same vector as :func:`hashed_embedding_jvm` and the SQL twin."""
+    vectorised ``bincount``. Same vector as the SQL twin's."""
     t = F.col(text) if isinstance(text, str) else text
     toks = F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(WORD_RUN), 0)
     ship_package()                       # active session, if any
     return _token_histogram_udf(dim)(toks)
 
 
-def hashed_embedding_jvm(text, dim: int = DEFAULT_DIM) -> Column:
-    """Variant hashing every token in the JVM (md5 per occurrence), histogram in Arrow."""
-    t = F.col(text) if isinstance(text, str) else text
-    toks = F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(WORD_RUN), 0)
-    buckets = F.transform(toks, lambda w: hash_bucket(w, dim))
-    ship_package()
-    return _histogram_udf(dim)(buckets)
-
-
-def hashed_embedding_native(text, dim: int = DEFAULT_DIM) -> Column:
-    """Same vector with higher-order functions only (no Python); slower on long texts."""
-    t = F.col(text) if isinstance(text, str) else text
-    toks = F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(WORD_RUN), 0)
-    return normalize(bucket_counts(F.transform(toks, lambda w: hash_bucket(w, dim)), dim))
-
-
 def hashed_embedding_sql(text_sql: str, dim: int = DEFAULT_DIM) -> str:
     """DuckDB twin of :func:`hashed_embedding` returning the *unnormalised* counts (cosine
     does not care about scale)."""

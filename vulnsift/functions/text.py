@@ -38,8 +38,6 @@ TECH_TOKEN_ALTERNATIVES = [
     r"(?:\b[a-z]+_\w+\b)",
     r"(?:\b\w+\b)",
 ]
-# CPE clean-up: characters removed before the first five characters are cut.
-CPE_DROP = r"[^a-zA-Z0-9\s]"
 # English stop-word list of the public NLTK corpus (179 words, corpus order) used by N1.
 STOP_WORDS_EN = (
     "i me my myself we our ours ourselves you you're you've you'll you'd your yours yourself "
@@ -56,7 +54,7 @@ STOP_WORDS_EN = (
 ).split()
 # ----------------------------------------------------------------------------------------
 
-# CPE_DROP with its in-class ``\s`` spelled out (Java and RE2 form).
+# CPE clean-up (P7): what is removed before the first five characters are cut; white space is spelled out.
 CPE_DROP_ENGINE = r"[^a-zA-Z0-9\t-\r\x1c-\x20\x{85}\p{Z}]"
 
 _PY_CLASS = {r"\b": BOUNDARY, r"\w": WORD, r"\d": DIGIT, r"\s": SPACE}
@@ -115,11 +113,6 @@ def tech_tokens(text, stop_words: list[str] | None = None) -> Column:
     return F.filter(toks, lambda t: ~t.isin(*sw))         # literal IN list -> hash-set lookup
 
 
-def regex_remove(text, pattern: str) -> Column:
-    """X2."""
-    return F.regexp_replace(_c(text), pattern, "")
-
-
 def cpe_clean(uri) -> Column:
     """Remove ``[^a-zA-Z0-9\\s]`` and drop the first five characters (``cpe23``)."""
     return F.substring(F.regexp_replace(_c(uri), CPE_DROP_ENGINE, ""), 6, 1 << 30)

@@ -13,10 +13,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def as_double(a) -> Column:
-    return F.transform(_c(a), lambda x: x.cast("double"))
-
-
 def dot(a, b) -> Column:
     """Σ aᵢ·bᵢ in double (arrays of equal length)."""
     prods = F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double"))
@@ -34,26 +30,6 @@ def cosine(a, b) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(dot(a, b) / den)
 
 
-def cosine_distance(a, b) -> Column:
-    """1 - cosine, the distance of a cosine-space collection (V5)."""
-    return F.lit(1.0) - cosine(a, b)
-
-
-def normalize(a) -> Column:
-    """Unit vector in double; the zero vector stays zero.
-
-    Written as one ``aggregate`` whose accumulator carries the array and the sum of squares:
-    a norm referenced inside a ``transform`` lambda would be re-evaluated per element."""
-    init = F.struct(F.lit(0.0).alias("ss"), F.array().cast("array<double>").alias("v"))
-    acc = F.aggregate(
-        _c(a), init,
-        lambda s, x: F.struct((s["ss"] + x.cast("double") * x.cast("double")).alias("ss"),
-                              F.concat(s["v"], F.array(x.cast("double"))).alias("v")),
-        lambda s: F.transform(s["v"], lambda x: F.when(s["ss"] == 0, F.lit(0.0))
-                              .otherwise(x / F.sqrt(s["ss"]))))
-    return acc
-
-
 def vadd(a, b) -> Column:
     """Element-wise add."""
     return F.zip_with(_c(a), _c(b), lambda x, y: x + y)

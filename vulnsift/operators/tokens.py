@@ -19,11 +19,6 @@ def bigrams(tokens) -> Column:
     return F.filter(pairs, lambda x: x.isNotNull())
 
 
-def unigrams_and_bigrams(tokens) -> Column:
-    t = F.col(tokens) if isinstance(tokens, str) else tokens
-    return F.concat(t, bigrams(t))
-
-
 def explode_tokens(df: DataFrame, id_col: str, tokens: Column, term: str = "term",
                    pos: str = "pos") -> DataFrame:
     """One row per (doc, position, term); narrow (no shuffle)."""
@@ -43,9 +38,3 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, keep: list[str] = ()
 def total_tokens(df: DataFrame, text_col: str) -> DataFrame:
     """Total token count (sum of sizes, partial aggregation; no explode needed)."""
     return df.agg(F.sum(F.size(T.split_ws(text_col))).cast("bigint").alias("n_tokens"))
-
-
-def remove_stop_words(tokens, stop_words: list[str]) -> Column:
-    """W8 as an array filter (keeps duplicates and order; ``array_except`` would dedupe)."""
-    t = F.col(tokens) if isinstance(tokens, str) else tokens
-    return F.filter(t, lambda x: ~x.isin(*stop_words))

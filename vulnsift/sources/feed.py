@@ -42,27 +42,6 @@ def item_schema() -> StructType:
     return StructType.fromDDL(ITEM_DDL)
 
 
-def feed_schema(items_col: str = "CVE_Items") -> StructType:
-    return StructType.fromDDL(f"{items_col} ARRAY<{_feed_struct_ddl()}>")
-
-
-def _feed_struct_ddl() -> str:
-    # top-level "name TYPE" pairs -> "name: TYPE" inside STRUCT<...>
-    parts, depth, cur = [], 0, ""
-    for ch in ITEM_DDL:
-        if ch == "<":
-            depth += 1
-        elif ch == ">":
-            depth -= 1
-        if ch == "," and depth == 0:
-            parts.append(cur.strip())
-            cur = ""
-        else:
-            cur += ch
-    parts.append(cur.strip())
-    return "STRUCT<" + ", ".join(p.replace(" ", ": ", 1) for p in parts) + ">"
-
-
 CORRUPT = "_corrupt_record"
 
 
