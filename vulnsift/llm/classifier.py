@@ -2,7 +2,7 @@
 
 1. ``statistics``: one narrow pass turns every whole text into ``FEATURES`` numbers (counts and
    ratios of characters, words and lines; nothing of id, language or source).
-2. The trees are fitted on at most ``SAMPLE_ROWS`` labelled rows, the ones with the smallest hash of their id; the
+2. The trees are fitted on about ``SAMPLE_ROWS`` labelled rows (all, if fewer), those with the smallest hash of their id; the
    bound is what makes it safe to fit on the driver (``SAMPLE_ROWS`` x 20 numbers). Rows whose
    ``crc32(doc_id as text) mod 5`` is 0 are held out and never fitted on.
 3. The trees are flattened into arrays (feature, threshold, children, value of every node), broadcast
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnsift.llm.common import cut, id_text
+from vulnsift.llm.common import cut, hash_share, id_text
 
 SAMPLE_ROWS = 20_000
 THRESHOLD = 0.3
@@ -161,17 +161,17 @@ def held_out(id_col: str = "doc_id"):
 
 
 def training_rows(stats: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``limit`` labelled rows outside the held-out fold, by hash of the id."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1))
-    return stats.where(~held_out()).join(known, "doc_id").select("stats", "y", F.xxhash64("doc_id").alias("h"), "doc_id") \
-        .orderBy("h", "doc_id", "y").limit(limit).select("stats", "y")
+    """About ``limit`` labelled rows outside the held-out fold, by hash of the id; one for each id and label."""
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1)).distinct()
+    rows = cut(stats.where(~held_out()).join(known, "doc_id").groupBy("doc_id", "y").agg(F.min("stats").alias("stats")))
+    return rows.where(hash_share("doc_id", limit, rows.count()))
 
 
 def score(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
     spark = docs.sparkSession
     stats = cut(statistics(docs, text, id_col))
-    got = training_rows(stats, labels).toPandas()
+    got = training_rows(stats, labels).toPandas().sort_values(["doc_id", "y"])
     x = np.array(got["stats"].tolist(), dtype=np.float64).reshape(len(got), len(FEATURES))
     forest = spark.sparkContext.broadcast(fit(x, got["y"].to_numpy(dtype=np.float64)))
 
