@@ -153,13 +153,13 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("j"))
 
 
-def classes(table: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+def classes(table: DataFrame, docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``h, comp``: the component of every node that has a link. ``table`` is a stored ``signed(docs)``."""
     nodes = table.where("n > 0").groupBy("h").agg(F.first("n").alias("n"), F.first("bands").alias("bands"),
-                                                  F.count(F.lit(1)).alias("copies"))
+                                                  F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("low"))
     # rank of a node as a pivot: most copies first, then by hash; one number, so that it aggregates by hash
     rank = F.least("copies", F.lit(1 << 20)) * F.lit(1 << 42) + F.shiftrightunsigned(F.xxhash64("h"), 22)
-    rows = written(nodes.select("h", "n", rank.alias("rank"), "bands"), "nodes")
+    rows = written(nodes.select("h", "n", rank.alias("rank"), "bands", "low"), "nodes")
     spread = rows.select("h", "rank", F.posexplode("bands").alias("band", "key"))
     buckets = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members"), F.max("rank").alias("top")) \
         .where("members > 1").drop("members")
@@ -168,9 +168,11 @@ def classes(table: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     star = members.join(pivots, ["band", "key"]).where("h <> b").select(F.col("h").alias("a"), "b").distinct()
 
     # shingle sets of the nodes that share a bucket
-    near = members.select("h").distinct()
-    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
-    wanted = texts.select(content_hash(F.col("text")).alias("h"), "text").join(near, "h", "left_semi")
+    # one copy of each: the one with the lowest id, so that copies of a text are not dealt to one task
+    near = rows.join(members.select("h").distinct(), "h", "left_semi").select(F.col("low").alias("k"), "h")
+    texts = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text")) \
+        .withColumn("h", content_hash(F.col("text")))
+    wanted = texts.join(near, texts["k"].eqNullSafe(near["k"]) & (texts["h"] == near["h"]), "left_semi").select("h", "text")
     sets = written(wanted.dropDuplicates(["h"]).mapInArrow(_shingles, "h binary, s array<bigint>"), "shingles")
 
     compared = cut(_similar(star, sets))
@@ -217,7 +219,7 @@ def near_duplicates(docs: DataFrame, weighting: str = "set", text: str = "text",
 
 def _classed(docs: DataFrame, weighting: str, text: str, id_col: str) -> DataFrame:
     table = written(signed(docs, weighting, text, id_col), "signed")
-    comp = classes(table.select("h", "n", "bands"), docs, text)
+    comp = classes(table, docs, text, id_col)
     rows = table.select("doc_id", "h")
     # the smallest id per text first (copies collapse map-side), then per component
     per_text = rows.groupBy("h").agg(F.min("doc_id").alias("low")).join(comp, "h", "left") \
