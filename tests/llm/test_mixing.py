@@ -103,3 +103,32 @@ def test_large_chance_tables_give_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(M, "FEW_CELLS", 0)
     monkeypatch.setattr(M, "ROUNDS", 4)
     assert {r.doc_id: r.chance for r in M.report(docs).collect()} == pytest.approx(want, rel=1e-2)
+
+
+def shares(rows, name):
+    return {(r.marginal, r.category): r[name] for r in rows}
+
+
+def test_the_draw_meets_the_targets(spark):
+    """Topics of 2 to 4 % that must more than double: at 70 % of all tokens they would be clipped."""
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").select("doc_id", "text", "lang", F.expr("doc_id % 3").alias("source"))
+    rows = M.marginals(docs).collect()
+    target, expected, drawn = (shares(rows, c) for c in ("target", "expected", "drawn"))
+    assert sum(target.values()) == pytest.approx(3) and sum(drawn.values()) == pytest.approx(3)
+    assert expected == pytest.approx(target, rel=5e-3)
+    assert drawn == pytest.approx(target, abs=0.06)      # a few texts have a large share of these tokens
+    corpus = shares(rows, "corpus")
+    most = min(corpus[k] / target[k] for k in target)
+    got = M.report(docs).join(docs.select("doc_id", M.tokens_of(F.col("text")).alias("n")), "doc_id") \
+        .agg((F.sum(F.col("chance") * F.col("n")) / F.sum("n")).alias("kept"), F.max("chance").alias("top")).first()
+    assert got.top <= 1 and 0.8 * most <= got.kept <= min(most, M.KEEP) * 1.002
+
+
+def test_a_hot_source_and_a_cell_of_one_document_keep_the_targets(spark):
+    rows = [(i, "w " * 10, "en", "hot" if i % 20 else "rare", "a" if i % 7 else "b") for i in range(4000)]
+    rows.append((5000, "w", "de", "rare", "b"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    given = {"source": {"hot": 0.5, "rare": 0.5}, "topic": {"a": 0.5, "b": 0.5}, "lang": {"en": 1.0, "de": 1e-4}}
+    got = M.marginals(df, given, topic=F.col("topic")).collect()
+    assert shares(got, "expected") == pytest.approx(shares(got, "target"), rel=5e-3)
+    assert M.sample(df, given, topic=F.col("topic")).count() > 300

@@ -7,9 +7,15 @@ or after ``ROUNDS`` rounds (looked at every ``ROUNDS_A_PLAN`` rounds). Up to ``F
 partition; more cells by partially aggregated sums that are joined back, so a category with a third of all rows is
 one number per task. No cell table is collected.
 
-A document's chance to stay is ``min(1, c * weight / tokens)`` of its cell, with ``c`` calibrated so that the expected tokens are
-``keep`` of all (cells at 1 give their rest to the others). It stays if a hash of its id and the seed,
-read as a number in [0, 1), is below the chance: the same documents on every run and every cluster.
+No cell can give more tokens than it has, so targets above the corpus' shares bound the amount that can be drawn at these targets.
+Without ``keep`` the targets decide: ``bounded`` rakes on with every cell held at its tokens, and the draw has the
+largest share of all tokens tried, up to ``KEEP``, at which every marginal of the expected draw is within
+``TOLERANCE`` of the raked one. With a given ``keep`` the amount decides: a chance is ``min(1, c * weight / tokens)`` of its cell, with
+``c`` calibrated so that the expected tokens are ``keep`` of all; cells at 1 give their rest to the others, so targets that need more than
+these cells have are missed. ``marginals`` gives the target, expected and drawn shares of either.
+
+A document stays if a hash of its id and the seed, read as a number in [0, 1), is below its cell's chance: the same
+documents on every run and every cluster.
 
 Targets may be given as ``{category: share}`` per marginal; without one the target of a category is its share of tokens to the power
 ``temper`` (normalised), which lifts the small ones. Categories without a target (or with target 0) get weight 0.
@@ -32,6 +38,9 @@ from vulnsift.llm.common import cut
 MARGINALS = ("source", "lang", "topic")
 ROUNDS, TOLERANCE = 12, 1e-3
 KEEP = 0.7
+#: shares tried by ``bounded``, from the most that single categories allow (0) to the share without any bound reached (1)
+TRIES = (0.0, 0.05, 0.15, 0.4, 1.0)
+BOUND_ROUNDS = 24
 #: so few cells are raked in one partition, and their chances broadcast; more cells take part in shuffles
 FEW_CELLS = 200_000
 ROUNDS_A_PLAN = 4
@@ -62,18 +71,25 @@ def cells(docs: DataFrame, topic: Column | None = None, text: str = "text") -> D
         .agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
 
 
-def _summed(cells: DataFrame, m: str, value: Column, out: str, few: bool) -> DataFrame:
-    """Add the sum of ``value`` over the cells of the same category. Few cells lie in one partition, where a window
+def _sums(cells: DataFrame, m: str, few: bool, **values: Column) -> DataFrame:
+    """Add sums over the cells of the same category. Few cells lie in one partition, where a window
     needs no shuffle; many are summed by a partial aggregate that is joined back."""
     if few:
-        return cells.withColumn(out, F.sum(value).over(Window.partitionBy(m)))
-    return cells.join(cells.groupBy(m).agg(F.sum(value).alias(out)), m)
+        return cells.withColumns({out: F.sum(v).over(Window.partitionBy(m)) for out, v in values.items()})
+    return cells.join(cells.groupBy(m).agg(*[F.sum(v).alias(out) for out, v in values.items()]), m)
 
 
 def _stored(cells: DataFrame, few: bool) -> DataFrame:
     return cut(cells.coalesce(1)).coalesce(1) if few else cut(cells)
 
 
+def _goal(m: str, given: dict[str, float] | None, temper: float) -> Column:
+    """The target of a category with ``t`` tokens, not yet normalised."""
+    goal = F.pow("t", F.lit(temper)) if given is None else F.coalesce(F.try_element_at(F.create_map(
+        *[F.lit(x) for k, v in given.items() for x in (str(k), float(v))]), F.col(m)), F.lit(0.0))
+    return F.when(F.col("t") > 0, goal).otherwise(0.0)
+
+
 def rake(table: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER,
          rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """The cells with a ``weight``: raked tokens, in tokens of the corpus."""
@@ -81,11 +97,8 @@ def rake(table: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     few = table.count() <= FEW_CELLS
     now = table.coalesce(1) if few else table
     for m in MARGINALS:
-        now = _summed(_summed(now, m, F.col("tokens"), "t", few), m, F.lit(1), f"n_{m}", few)
-        given = targets.get(m)
-        goal = F.pow("t", F.lit(temper)) if given is None else F.coalesce(F.try_element_at(F.create_map(
-            *[F.lit(x) for k, v in given.items() for x in (str(k), float(v))]), F.col(m)), F.lit(0.0))
-        now = now.withColumn(f"goal_{m}", F.when(F.col("t") > 0, goal).otherwise(0.0)).drop("t")
+        now = _sums(now, m, few, **{"t": F.col("tokens"), f"n_{m}": F.lit(1)})
+        now = now.withColumn(f"goal_{m}", _goal(m, targets.get(m), temper)).drop("t")
     now = _stored(now.withColumn("weight", F.col("tokens").cast("double")), few)
     sums = now.agg(F.sum("tokens").alias("tokens"), *[F.sum(F.col(f"goal_{m}") / F.col(f"n_{m}")).alias(m) for m in MARGINALS]).first()
     total = float(sums.tokens or 0)
@@ -95,7 +108,7 @@ def rake(table: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
         for _ in range(step):
             now = now.withColumn("off", F.lit(0.0))
             for m in MARGINALS:
-                now = _summed(now, m, F.col("weight"), "have", few)
+                now = _sums(now, m, few, have=F.col("weight"))
                 factor = F.when(F.col("have") > 0, F.col(f"goal_{m}") * (total / (sums[m] or 1.0)) / F.col("have")).otherwise(0.0)
                 now = now.withColumn("factor", factor)
                 # how far the marginal was off, over cells that count
@@ -125,12 +138,65 @@ def chances(weighted: DataFrame, keep: float = KEEP) -> DataFrame:
     return r.select(*MARGINALS, F.least(F.lit(1.0), F.col("ratio") * c).alias("chance"))
 
 
+def bounded(weighted: DataFrame, keep: float = KEEP, tolerance: float = TOLERANCE) -> DataFrame:
+    """The cells with ``chance``: that of the largest draw tried, up to ``keep`` of all tokens, whose expected marginals are those of the weights.
+
+    A category's factor is a Newton step towards its goal (its cells at their bound count as they are) from below, the
+    plain ratio from above: the fixed points are the weights whose bounded marginals meet the goals. The last try, at which no cell
+    reaches its bound, needs no round."""
+    few = weighted.count() <= FEW_CELLS
+    now = weighted.select(*MARGINALS, F.col("tokens").cast("double").alias("tokens"), "weight")
+    now = now.coalesce(1) if few else now
+    for m in MARGINALS:
+        now = _sums(now, m, few, **{f"goal_{m}": F.col("weight"), f"t_{m}": F.when(F.col("weight") > 0, F.col("tokens"))})
+    goals = _stored(now, few)
+    used = F.col("weight") > 0
+    facts = goals.agg(F.sum("tokens").alias("tokens"), F.sum("weight").alias("weight"),
+                      F.min(F.when(used, F.col("tokens") / F.col("weight"))).alias("free"),
+                      *[F.min(F.when(used, F.col(f"t_{m}") / F.col(f"goal_{m}"))).alias(m) for m in MARGINALS]).first()
+    chance = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("tokens"))).otherwise(0.0)
+    if not facts.weight:
+        return goals.select(*MARGINALS, F.lit(0.0).alias("chance"))
+    most = min(keep * facts.tokens / facts.weight, *[facts[m] for m in MARGINALS])
+    free = min(most, facts.free)
+    for part in TRIES if 0 < free < most else (1.0,):
+        share = most * (free / most) ** part if part < 1 else free
+        now = goals.withColumn("weight", F.col("weight") * share)
+        if part == 1:
+            break
+        for _ in range(0, BOUND_ROUNDS, ROUNDS_A_PLAN):
+            for _ in range(ROUNDS_A_PLAN):
+                for m in MARGINALS:
+                    now = _bounded_sums(now, m, few)
+                    have, goal = F.col("full") + F.col("rest"), F.col(f"goal_{m}") * share
+                    factor = F.when(have <= 0, 0.0).when(have >= goal, goal / have) \
+                        .when(F.col("rest") > 0, (goal - F.col("full")) / F.col("rest")).otherwise(1.0)
+                    # far above its bound a weight would take as many rounds to come back
+                    now = now.withColumn("weight", F.least(F.col("weight") * factor, F.col("tokens") * 1e3)).drop("full", "rest")
+                now = now if few else _stored(now, few)
+            now, off = _stored(now, few), []
+            seen = now
+            for m in MARGINALS:
+                seen = _bounded_sums(seen, m, few).withColumn(f"off_{m}", F.when(F.col(f"goal_{m}") > 0, F.abs(
+                    (F.col("full") + F.col("rest")) / (F.col(f"goal_{m}") * share) - 1)).otherwise(0.0)).drop("full", "rest")
+                off.append(F.col(f"off_{m}"))
+            if seen.agg(F.max(F.greatest(*off))).first()[0] < tolerance:
+                return now.select(*MARGINALS, chance.alias("chance"))
+    return now.select(*MARGINALS, chance.alias("chance"))
+
+
+def _bounded_sums(now: DataFrame, m: str, few: bool) -> DataFrame:
+    """Add ``full`` and ``rest``: tokens of a category's cells at their bound, weights of its others."""
+    at = F.col("weight") >= F.col("tokens")
+    return _sums(now, m, few, full=F.when(at, F.col("tokens")).otherwise(0.0), rest=F.when(at, 0.0).otherwise(F.col("weight")))
+
+
 def uniform(id_col: str = "doc_id", seed: int = SEED) -> Column:
     """A number in [0, 1) from the id and the seed."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) / F.lit(float(1 << 53))
 
 
-def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER,
+def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float | None = None, temper: float = TEMPER,
            seed: int = SEED, topic: Column | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The sampled rows of ``docs`` with all their columns."""
     chance = _chances_for(docs, targets, keep, temper, topic, text)
@@ -138,7 +204,8 @@ def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
 
 
 def _chances_for(docs, targets, keep, temper, topic, text) -> DataFrame:
-    return cut(chances(rake(cut(cells(docs, topic, text)), targets, temper), keep))
+    weighted = rake(cut(cells(docs, topic, text)), targets, temper)
+    return cut(bounded(weighted) if keep is None else chances(weighted, keep))
 
 
 def _drawn(docs, chance, seed, topic, text, id_col) -> DataFrame:
@@ -153,7 +220,7 @@ def _drawn(docs, chance, seed, topic, text, id_col) -> DataFrame:
         .withColumn("_mix_u", uniform(id_col, seed))
 
 
-def report(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, temper: float = TEMPER,
+def report(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float | None = None, temper: float = TEMPER,
            seed: int = SEED, topic: Column | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``doc_id``, cell, chance and verdict of every document."""
     drawn = _drawn(docs.select(F.col(id_col).alias("doc_id"), "source", "lang", F.col(text).alias("text")),
@@ -161,3 +228,21 @@ def report(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     return drawn.select("doc_id", F.col("_mix_source").alias("source"), F.col("_mix_lang").alias("lang"),
                         F.col("_mix_topic").alias("topic"), F.coalesce("_mix_chance", F.lit(0.0)).alias("chance"),
                         (F.col("_mix_u") < F.coalesce("_mix_chance", F.lit(0.0))).alias("kept"))
+
+
+def marginals(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float | None = None, temper: float = TEMPER,
+              seed: int = SEED, topic: Column | None = None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """``marginal, category`` and shares of tokens: ``corpus``, ``target``, ``expected`` of the draw, ``drawn``."""
+    drawn = _drawn(docs, _chances_for(docs, targets, keep, temper, topic, text), seed, topic, text, id_col)
+    n, chance = tokens_of(F.col(text)), F.coalesce("_mix_chance", F.lit(0.0))
+    by_cell = cut(drawn.groupBy(*[F.col(f"_mix_{m}").alias(m) for m in MARGINALS]).agg(
+        F.sum(n).alias("t"), F.sum(n * chance).alias("e"), F.sum(F.when(F.col("_mix_u") < chance, n).otherwise(0)).alias("d")))
+    out = None
+    for m in MARGINALS:
+        own = by_cell.groupBy(m).agg(*[F.sum(c).alias(c) for c in "ted"]).withColumn("g", _goal(m, (targets or {}).get(m), temper))
+        total = own.agg(*[F.sum(c).alias(f"all_{c}") for c in "tged"])
+        part = own.crossJoin(F.broadcast(total)).select(F.lit(m).alias("marginal"), F.col(m).alias("category"), *[
+            F.when(F.col(f"all_{c}") > 0, F.col(c) / F.col(f"all_{c}")).otherwise(0.0).alias(name)
+            for c, name in zip("tged", ("corpus", "target", "expected", "drawn"))])
+        out = part if out is None else out.unionByName(part)
+    return out
