@@ -92,3 +92,17 @@ def test_large_pages_and_table_cases(spark):
     got = sorted((r.page_id or 0, r.n_chars, r.text) for r in H.extract_pages(df).collect())
     assert got == [(0, 0, ""), (1, 0, ""), (1, len(P1), P1), (1, len(P1), P1)]
     assert H.extract_pages(df.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("html,want", [
+    (f"<body><form action=/ method=post><nav><a href=/>Home</a></nav><article><p>{P1}</p></article></form>", P1),
+    (f"<div class='page has-comments'><article><p>{P1}</p></article></div>", P1),
+    (f"<div class='no-comments'><main><p>{P1}</p></main></div>", P1),
+    (f"<div class=comments><article><p>{P1}</p></article></div>", P1),
+    (f"<article><p>{P1}</p></article><div class=comments><article><p>{P2}</p></article></div>", P1),
+    (f"<article><p>{P1}</p></article><aside><article><p>{P2}</p></article></aside>", P1),
+    (f"<article><p>{P1} <math><mi>a</mi><mo>+</mo><mi>b</mi></math> <noscript>is</noscript> <object>it</object></p>"
+     f"<xmp>x = 1</xmp><svg><text>no</text></svg></article>", f"{P1} a+b is it\nx = 1"),
+])
+def test_articles_under_marked_wrappers_and_embedded_text(html, want):
+    assert H.extract(html) == want

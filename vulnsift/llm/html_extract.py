@@ -33,10 +33,10 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|style)(?:\s*=\s*(\
 _WORDS = re.compile(r"[a-z]+")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe noembed noframes xmp object svg math".split())
+RAW = set("script style template textarea title iframe noembed noframes svg".split())
 BLOCK = set("""address article aside blockquote body button caption center dd details dialog div dl dt fieldset
     figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav
-    ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul""".split())
+    ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul xmp""".split())
 #: an opening tag of the key closes an open element of the value, up to the nearest container
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"},
@@ -58,6 +58,7 @@ LAYOUT_WORDS = set("with has no without page wrapper layout wrap container site"
 REMARK_WORDS = set("comment comments respond replies reply disqus".split())
 
 HARD, NAMED, SOFT = 60, 50, 20      # boilerplate marks: by element, by class word, by a mixed class
+REMARK, FIRM = 1, 2                 # marks that an article inside does not lift: by remark words (the page's first article does), by element or role
 NEAR, SIBLING = 12, 8
 
 
@@ -68,6 +69,7 @@ class _Open:
     depth: int
     in_article: bool
     chrome: int                     # strongest boilerplate mark on the way down, 0 if none
+    firm: int
     content: bool
     hidden: bool
     link: bool
@@ -85,11 +87,11 @@ class Block:
     link_chars: int
 
 
-def _open(tag: str, attrs: str, key: int, above: _Open) -> _Open:
+def _open(tag: str, attrs: str, key: int, above: _Open, first: bool = True) -> _Open:
     in_article = above.in_article or tag in ("article", "main")
-    chrome, content, hidden = above.chrome, above.content, above.hidden
-    if tag in ("article", "main") and not above.in_article and chrome < HARD:
-        chrome = 0                   # a wrapper named after a part of it still holds the article
+    chrome, firm, content, hidden = above.chrome, above.firm, above.content, above.hidden
+    if tag in ("article", "main") and not above.in_article and (firm == 0 or firm == REMARK and first):
+        chrome = firm = 0            # a form or a wrapper named after a part of it still holds the article
     words: set[str] = set()
     if attrs:
         for m in _ATTR.finditer(attrs):
@@ -97,31 +99,32 @@ def _open(tag: str, attrs: str, key: int, above: _Open) -> _Open:
             if name in ("class", "id"):
                 words |= set(_WORDS.findall(value))
             elif name == "role" and value in CHROME_ROLES:
-                chrome = HARD
+                chrome, firm = HARD, FIRM
             elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 hidden = True
     if tag in CHROME_TAGS or tag == "header" and not in_article:
-        chrome = HARD
+        chrome, firm = HARD, firm if tag == "form" else FIRM
     if words and tag not in ("body", "html", "article", "main"):
-        if words & REMARK_WORDS:
-            chrome = HARD
+        if words & REMARK_WORDS and not words & LAYOUT_WORDS:
+            chrome, firm = HARD, max(firm, REMARK)
         elif (words & CHROME_WORDS or words & HEADER_WORDS and not in_article) and not words & LAYOUT_WORDS:
             chrome = max(chrome, NAMED if in_article or not words & CONTENT_WORDS else SOFT)
         elif words & CONTENT_WORDS:
             content = True
-    elif words and tag == "article" and words & REMARK_WORDS:
+    elif words and tag == "article" and words & REMARK_WORDS and not words & LAYOUT_WORDS:
         chrome = HARD
-    return _Open(tag, key, above.depth + 1, in_article, chrome, content, hidden, above.link or tag == "a",
+    return _Open(tag, key, above.depth + 1, in_article, chrome, firm, content, hidden, above.link or tag == "a",
                  tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 def blocks(html: str) -> list[Block]:
     """The page's text blocks in page order; markup, comments and raw-text elements are gone."""
-    stack = [_Open("", 0, 0, False, 0, False, False, False, False)]
+    stack = [_Open("", 0, 0, False, 0, 0, False, False, False, False)]
     out: list[Block] = []
     parts: list[str] = []
     link_chars = 0
     key = 0
+    first = True                    # no article or main so far
 
     def flush():
         nonlocal parts, link_chars
@@ -198,7 +201,8 @@ def blocks(html: str) -> list[Block]:
                 del stack[last:]
         if tag not in VOID and not (m[2].endswith("/") and tag not in BLOCK and tag != "a"):
             key += 1
-            stack.append(_open(tag, m[2], key, stack[-1]))
+            stack.append(_open(tag, m[2], key, stack[-1], first))
+            first = first and tag not in ("article", "main")
     flush()
     return out
 
