@@ -97,3 +97,28 @@ def test_mask_and_edge_cases(spark):
     assert got[1][:2] == (1, None) and got[2] == (None, "", 0, "y") and got[3] == rows[3]
     assert pii.report(df.where(F.lit(False))).count() == 0
     assert pii.report(df).count() == 4
+
+
+@pytest.mark.parametrize("text,kind,n", [
+    ("SSN: 111-22-3333, 444-55-6666, 777-88-9999, 111-22-4444", "national_id", 3),      # the last is 44 code points on
+    ("phone 212-555-0100, 212-555-0101", "local_phone", 2),
+    ("list " + "a1" * 16 + " " + "c2" * 16 + " token", "secret", 1),
+    ("a@b.co 212-555-0100 +1 212 555 0100 212-555-0199", "local_phone", 0),               # a mask is no context word
+    ("é" * 5000 + "12.34 " + "ssn 111-22-3333 " * 300, "national_id", 300),
+])
+def test_context_is_the_whole_text_and_masks_are_the_spans(spark, text, kind, n):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.find(df).first()
+    assert len(row[kind]) == n
+    spans = sorted((s["start"], i, s["end"], k.name) for i, k in enumerate(pii.kinds()) for s in row[k.name])
+    want, at = "", 0
+    for start, _, end, name in spans:
+        if start >= at:
+            want += text[at:start] + f"[{name.upper()}]"
+        at = max(at, end)
+    assert pii.mask(df).first()["text"] == want + text[at:]
+
+
+def test_overlapping_spans_are_masked_as_their_union(spark):
+    df = spark.createDataFrame([(1, "x a@10.0.0.1, y +4111 1111 1111 1111 z")], "doc_id long, text string")
+    assert pii.mask(df).first()["text"] == "x [EMAIL], y +[CARD] z"

@@ -6,10 +6,12 @@ with the same pattern the gaps between them; running sums of both lengths are th
 offsets. The running sum is taken in blocks, so it stays near linear in the number of matches.
 
 A span's score is its kind's prior, plus a bonus when a context word of that kind stands in the 40
-code points before it or the 20 after it (the text between it and the neighbouring matches of
-that kind). Spans that pass the kind's validator (octets, Luhn, digit count, mod 97) and score at
+code points of the text before it or the 20 after it. Spans that pass the kind's validator (octets, Luhn, digit count, mod 97) and score at
 least 0.5 are kept. The first four kinds have priors above that: they need no context.
 
+``mask`` replaces the spans that ``find`` gives for the same text; where spans overlap, their union
+becomes the kind of the one that starts first (of the first kind, should they start together).
+
 The patterns start only at the first character of a run and use possessive repetition; the matches
 are the same as of the plain patterns (any later start in the run fails alike), but a long run
 without a match costs linear, not quadratic, time and no stack.
@@ -32,6 +34,8 @@ from vulnsift.llm.common import let
 THRESHOLD = 0.5
 BEFORE, AFTER = 40, 20
 _BLOCK = 64
+#: code points of a piece: a slice of a text is read from the pieces it lies in, not from the start of the text
+_PIECE = 1024
 
 
 def _ip(m: Column) -> Column:
@@ -93,55 +97,66 @@ def kinds() -> list[Kind]:
     ]
 
 
-def running_sum(values: Column) -> Column:
-    """Inclusive prefix sums of an array of longs, in blocks: appending to an array copies it, so
-    one fold over n values would copy n*n/2."""
-    def sums(a: Column) -> Column:
+def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Inclusive prefix folds of an array of longs by an associative ``step`` from 0, in blocks: appending to an array
+    copies it, so one fold over n values would copy n*n/2."""
+    zero = F.lit(0).cast("bigint")
+
+    def folds(a: Column) -> Column:
         return F.aggregate(a, F.array().cast("array<bigint>"), lambda acc, x: F.concat(
-            acc, F.array(x + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("bigint")))))
+            acc, F.array(step(x, F.coalesce(F.try_element_at(acc, F.lit(-1)), zero)))))
 
     def blocks(v: Column) -> Column:
         inner = F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(_BLOCK)),
-                            lambda at: sums(F.slice(v, at + 1, F.lit(_BLOCK))))
+                            lambda at: folds(F.slice(v, at + 1, F.lit(_BLOCK))))
         return let(inner, lambda parts: let(
-            sums(F.transform(parts, lambda p: F.element_at(p, -1))),
-            lambda ends: F.flatten(F.zip_with(parts, ends, lambda p, end: F.transform(
-                p, lambda x: x + end - F.element_at(p, -1))))))
+            folds(F.transform(parts, lambda p: F.element_at(p, -1))),
+            lambda ends: F.flatten(F.zip_with(parts, F.concat(F.array(zero), F.slice(ends, 1, F.size(ends) - 1)),
+                                              lambda p, past: F.transform(p, lambda x: step(x, past))))))
 
-    return let(values, lambda v: F.when(F.size(v) <= _BLOCK, sums(v)).otherwise(blocks(v)))
+    return let(values, lambda v: F.when(F.size(v) <= _BLOCK, folds(v)).otherwise(blocks(v)))
 
 
-def _score(kind: Kind, before: Column, after: Column) -> Column:
-    near = F.concat(F.right(before, F.lit(BEFORE)), F.lit(" \u0001 "), F.left(after, F.lit(AFTER)))
-    return F.when(F.lower(near).rlike(rf"(?<![\p{{L}}0-9])(?:{kind.words})(?![\p{{L}}0-9])"),
-                  F.lit(kind.prior + kind.bonus)).otherwise(F.lit(kind.prior))
+def running_sum(values: Column) -> Column:
+    """Inclusive prefix sums of an array of longs."""
+    return _running(values, lambda x, past: x + past)
+
 
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}+"), F.lit(0))
 
-def _judged(kind: Kind, found: Column, gaps: Column) -> Column:
-    """Per match: (before = the gap in front of it, match, score, kept)."""
-    pairs = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    next_gap = F.slice(gaps, 2, F.size(found))
-    return F.zip_with(pairs, next_gap, lambda p, nxt: let(
-        _score(kind, p["g"], nxt), lambda s: F.struct(
-            p["g"].alias("before"), p["m"].alias("match"), s.alias("score"),
-            ((s >= THRESHOLD) & (kind.valid(p["m"]) if kind.valid else F.lit(True))).alias("kept"))))
+
+def _part(pieces: Column, start: Column, end: Column) -> Column:
+    """The code points ``start`` to ``end`` of the text of these pieces, cut at its end."""
+    first = F.floor(start / _PIECE).cast("int")
+    count = F.floor((end - 1) / _PIECE).cast("int") - first + 1
+    return F.when(end > start, F.array_join(F.slice(pieces, first + 1, count), "").substr(
+        (start - first * _PIECE + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+
+def _score(kind: Kind, pieces: Column, start: Column, end: Column) -> Column:
+    near = F.concat(_part(pieces, F.greatest(start - BEFORE, F.lit(0)), start), F.lit(" \u0001 "), _part(pieces, end, end + AFTER))
+    return F.when(F.lower(near).rlike(rf"(?<![\p{{L}}0-9])(?:{kind.words})(?![\p{{L}}0-9])"),
+                  F.lit(kind.prior + kind.bonus)).otherwise(F.lit(kind.prior))
 
 
 def _spans(kind: Kind) -> Column:
     text = F.col("text")
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,match:string,score:double>>")
 
-    def placed(js: Column) -> Column:
-        lens = F.transform(js, lambda j: (F.length(j["before"]) + F.length(j["match"])).cast("bigint"))
-        spans = F.zip_with(js, running_sum(lens), lambda j, end: F.struct(
-            F.lit(kind.name).alias("kind"), (end - F.length(j["match"])).alias("start"), end.alias("end"),
-            j["match"].alias("match"), j["score"].alias("score"), j["kept"].alias("kept")))
-        return F.transform(F.filter(spans, lambda s: s["kept"]), lambda s: F.struct(
-            s["kind"], s["start"], s["end"], s["match"], s["score"]))
+    def placed(found: Column, gaps: Column, pieces: Column) -> Column:
+        lens = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: (F.length(g) + F.length(m)).cast("bigint"))
+        ends = F.zip_with(found, running_sum(lens), lambda m, end: F.struct(
+            (end - F.length(m)).alias("start"), end.alias("end"), m.alias("match")))
+        valid = F.filter(ends, lambda s: kind.valid(s["match"])) if kind.valid else ends
+        spans = F.transform(valid, lambda s: F.struct(
+            F.lit(kind.name).alias("kind"), s["start"], s["end"], s["match"],
+            _score(kind, pieces, s["start"], s["end"]).alias("score")))
+        return F.filter(spans, lambda s: s["score"] >= THRESHOLD)
 
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    return F.when(kind.needs, let(found, lambda m: F.when(
-        F.size(m) > 0, let(_judged(kind, m, F.split(text, kind.pattern, -1)), placed)).otherwise(none))).otherwise(none)
+    return F.when(kind.needs, let(found, lambda m: F.when(F.size(m) > 0, let(
+        _pieces(text), lambda p: placed(m, F.split(text, kind.pattern, -1), p))).otherwise(none))).otherwise(none)
 
 
 def find(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -151,24 +166,27 @@ def find(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFra
 
 
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replace every kept span by ``[KIND]``, kind after kind, and bring ``n_chars`` up to date.
+    """Replace every span of ``find`` by ``[KIND]``, and bring ``n_chars`` up to date.
 
     All columns stay. A null text stays null."""
     names = docs.columns
+    body = F.col("text")
+
+    def rebuilt(spans: Column, reach: Column, pieces: Column) -> Column:
+        before = F.concat(F.array(F.lit(0).cast("bigint")), F.slice(reach, 1, F.size(reach) - 1))
+        filled = F.zip_with(spans, before, lambda s, past: F.when(
+            s["start"] >= past, F.concat(_part(pieces, past, s["start"]), s["tag"])).otherwise(""))
+        return F.concat(F.array_join(filled, ""), _part(pieces, F.element_at(reach, -1), F.length(body).cast("bigint")))
 
-    def masked(kind: Kind, body: Column) -> Column:
-        def rebuilt(m: Column) -> Column:
-            gaps = F.split(body, kind.pattern, -1)
-            return let(gaps, lambda g: F.concat(
-                F.array_join(F.transform(_judged(kind, m, g), lambda j: F.concat(
-                    j["before"], F.when(j["kept"], F.lit(f"[{kind.name.upper()}]")).otherwise(j["match"]))), ""),
-                F.element_at(g, -1)))
-        found = F.regexp_extract_all(body, F.lit(kind.pattern), F.lit(0))
-        return F.when(kind.needs, let(found, lambda m: F.when(F.size(m) > 0, rebuilt(m)).otherwise(body))).otherwise(body)
+    def ordered(at: int, kind: Kind) -> Column:
+        return F.transform(_spans(kind), lambda s: F.struct(
+            s["start"].alias("start"), F.lit(at).alias("at"), s["end"].alias("end"), F.lit(f"[{kind.name.upper()}]").alias("tag")))
 
     out = docs.withColumnRenamed(text, "text") if text != "text" else docs
-    for kind in kinds():
-        out = out.withColumn("text", masked(kind, F.col("text")))
+    every = F.array_sort(F.concat(*[ordered(i, k) for i, k in enumerate(kinds())]))
+    out = out.withColumn("text", let(every, lambda spans: F.when(F.size(spans) > 0, let(
+        _running(F.transform(spans, lambda s: s["end"]), F.greatest), lambda reach: let(
+            _pieces(body), lambda pieces: rebuilt(spans, reach, pieces)))).otherwise(body)))
     out = out.withColumnRenamed("text", text) if text != "text" else out
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length(F.col(text)).cast("bigint"))
