@@ -98,6 +98,24 @@ def test_the_rest_step_finds_links_that_pivots_miss(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()} == {i: want[t] for i, t in rows}
 
 
+def test_a_tie_at_the_threshold_between_two_members_that_are_no_pivot(spark, monkeypatch):
+    """y is x cut to 80 of its 100 shingles; the pivot is a third text, of three copies, that is near neither."""
+    monkeypatch.setattr(near_dedup, "ROWS", 1)
+    monkeypatch.setattr(near_dedup, "BANDS", 1)
+    rows = []
+    for g in range(12):
+        x = [f"g{g}w{i}" for i in range(104)]
+        z = x[:74] + [f"g{g}z{i}" for i in range(40)]
+        rows += [(10 * g + i, " ".join(t)) for i, t in enumerate([x, x[:84], z, z, z])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {r.doc_id: list(r.bands) for r in near_dedup.signed(df).collect()}
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    met = [g for g in range(12) if keys[10 * g] == keys[10 * g + 1] == keys[10 * g + 2]]
+    assert met
+    for g in met:
+        assert got[10 * g] == got[10 * g + 1] == 10 * g and got[10 * g + 2] == 10 * g + 2
+
+
 @pytest.mark.parametrize("weighting", ["set", "count"])
 def test_given_table(spark, weighting):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")

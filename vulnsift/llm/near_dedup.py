@@ -192,7 +192,7 @@ def classes(table: DataFrame, docs: DataFrame, text: str = "text", id_col: str =
         F.count(F.lit(1)).alias("n"), F.min("h").alias("h")).where("n = 1")
     own = occur.groupBy("h").agg(F.count(F.lit(1)).alias("own"))
     facts = rows.join(open_nodes, "h", "left_semi").join(own, "h", "left") \
-        .select("h", "n", "bands", F.coalesce("own", F.lit(0)).alias("own")).where(F.col("own") <= (1 - THRESHOLD) * F.col("n"))
+        .select("h", "n", "bands", F.coalesce("own", F.lit(0)).alias("own")).where(F.col("own") <= (1 - THRESHOLD) * F.col("n") + 1e-9)
     at_pivot = compared.select(F.col("a").alias("h"), F.col("b").alias("pivot"), (1 - F.col("j")).alias("d"))
     side = left.join(pivots.withColumnRenamed("b", "pivot"), ["band", "key"]).join(at_pivot, ["h", "pivot"], "left") \
         .join(facts, "h").select("band", "key", "h", "comp", "n", "own", "bands", F.coalesce("d", F.lit(0.0)).alias("d"))
