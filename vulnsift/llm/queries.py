@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnsift.llm import bpe, chat, classifier, html_extract, mixing, near_dedup, pii, quality_rules, sharding, spotsigs
+from vulnsift.llm import bpe, chat, classifier, collocations, html_extract, mixing, near_dedup, pii, quality_rules, sharding, spotsigs
 from vulnsift.llm.common import table
 from vulnsift.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -87,3 +87,42 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], turns.schema)
     return chat.digest(chat.format_chats(chat.turn_events(turns.unionByName(probe))))
+
+
+_CUTS = "(SELECT * FROM cand, (VALUES (1), (2)) k(k) WHERE k < n)"
+
+OP11_SQL = rf"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, d, unnest(string_split_regex(text, '[.,;:!?
+-]')) AS piece FROM t),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, 1 AS n, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM w),
+total AS (SELECT lang, count(*) AS words FROM g WHERE n = 1 GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, n, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL HAVING count(*) >= {collocations.MIN_COUNT}),
+cand AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE n > 1),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, 1000000 * c.a * c.a // (x.a * y.a) AS score FROM {_CUTS} c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:c.k], ' ') AND x.n = c.k
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ') AND y.n = c.n - c.k),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+taken AS (
+  SELECT lang, part, max(a) AS longest FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS part FROM cand WHERE n = 3) GROUP BY ALL),
+kept AS (
+  SELECT best.* FROM best LEFT JOIN taken ON taken.lang = best.lang AND taken.part = best.phrase
+  WHERE longest IS NULL OR 100 * longest < {collocations.ABSORB_PERCENT} * best.a),
+ranked AS (
+  SELECT kept.*, words, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM kept JOIN total USING (lang))
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, words::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= {collocations.TOP}"""
+
+
+@query("op11_collocations", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
