@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnsift.llm import bpe, chat, classifier, collocations, html_extract, mixing, near_dedup, pii, quality_rules, sharding, spotsigs
-from vulnsift.llm.common import table
+from vulnsift.llm import bpe, chat, classifier, collocations, html_extract, mixing, near_dedup, pii, prefix_trie, quality_rules, sharding, spotsigs
+from vulnsift.llm.common import table, written
 from vulnsift.llm.registry import QUERIES, SQL, query  # noqa: F401
 
 
@@ -96,7 +96,8 @@ WITH t AS (
   SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS d,
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 p AS (SELECT lang, d, unnest(string_split_regex(text, '[.,;:!?
--]')) AS piece FROM t),
+-
+]')) AS piece FROM t),
 w AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS w FROM p),
 g AS (
   SELECT lang, 1 AS n, unnest(w) AS phrase FROM w
@@ -126,3 +127,50 @@ FROM ranked WHERE rank <= {collocations.TOP}"""
 @query("op11_collocations", OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH tab AS (
+  SELECT list(c ORDER BY n) AS tab FROM (
+    SELECT n, list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]),
+                          lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) t(n))),
+t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+    sha256(concat(length(coalesce(role, '')), ':', role, ':', text))) AS idx
+  FROM conversations WHERE conv_id IS NOT NULL),
+m AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+    lambda acc, b: xor(tab[(xor(acc, b) & 255) + 1], acc >> 8))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), tab),
+r AS (
+  SELECT m.conv_id, 0 AS own, idx, role, text FROM m JOIN t ON t.conv_id = m.base AND t.idx <= m.h
+  UNION ALL SELECT m.conv_id, 1, idx, role, text FROM m JOIN t USING (conv_id) WHERE idx > h),
+s AS (
+  SELECT conv_id, row_number() OVER w AS depth, length(text) AS size,
+         md5(string_agg(md5(concat(length(role), ':', role, ':', text)), ',') OVER w) AS key
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY own, idx)),
+e AS MATERIALIZED (
+  SELECT *, max(depth) OVER (PARTITION BY conv_id) AS len FROM (
+    SELECT * FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM m)),
+n AS MATERIALIZED (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = len), '')) AS ends_sha256
+  FROM e GROUP BY ALL),
+up AS (
+  SELECT n.depth, n.key, p.key AS parent_key, q.conv_id AS parent_conv_id FROM n
+  JOIN e p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1 JOIN n q ON q.depth = p.depth AND q.key = p.key),
+kids AS (SELECT depth - 1 AS depth, parent_key AS key, count(*) AS n_children FROM up GROUP BY ALL),
+full_n AS (SELECT n.*, parent_conv_id, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN up USING (depth, key) LEFT JOIN kids USING (depth, key)),
+sub AS (
+  SELECT e.depth, e.key, sum(x.saved) AS saved_tokens, count(*) FILTER (x.n_children = 0) AS n_leaves
+  FROM full_n x JOIN e ON e.conv_id = x.conv_id AND e.depth <= x.depth GROUP BY ALL)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM full_n JOIN sub USING (depth, key)"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = written(prefix_trie.turn_marks(table(spark, sf_dir, "conversations")), "trie-turns")
+    return prefix_trie.prefix_trie(prefix_trie.forked(marks), prefix_trie.members_of(marks))
