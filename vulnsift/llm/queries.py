@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vulnsift.llm import bpe, chat, classifier, collocations, html_extract, mixing, near_dedup, pii, prefix_trie, quality_rules, sharding, spotsigs
+from vulnsift.llm import (bpe, chat, classifier, collocations, html_extract, mixing, near_dedup, pii, prefix_trie, quality_rules,
+                          sharding, spotsigs, toxicity)
 from vulnsift.llm.common import table, written
 from vulnsift.llm.registry import QUERIES, SQL, query  # noqa: F401
 
@@ -174,3 +175,8 @@ FROM full_n JOIN sub USING (depth, key)"""
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = written(prefix_trie.turn_marks(table(spark, sf_dir, "conversations")), "trie-turns")
     return prefix_trie.prefix_trie(prefix_trie.forked(marks), prefix_trie.members_of(marks))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

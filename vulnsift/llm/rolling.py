@@ -33,16 +33,16 @@ def _size(n: int) -> int:
     return 1 << max(int(n), _BLOCK).bit_length()
 
 
-def word_hashes(vocab: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
-    """For each polynomial the value of every word ``vocab[cuts[i]:cuts[i + 1]]``, from prefix sums of blocks."""
+def word_hashes(vocab: np.ndarray, cuts: np.ndarray, use: int = len(PRIMES)) -> list[np.ndarray]:
+    """For the first ``use`` polynomials the value of every word ``vocab[cuts[i]:cuts[i + 1]]``, from prefix sums of blocks."""
     n = len(cuts) - 1
-    out = [np.zeros(n, np.int64) for _ in PRIMES]
+    out = [np.zeros(n, np.int64) for _ in PRIMES[:use]]
     i = 0
     while i < n:
         j = max(i + 1, int(np.searchsorted(cuts, cuts[i] + _BLOCK, side="right")) - 1)
         raw = vocab[cuts[i]:cuts[j]].astype(np.int64) + 1
         lo, hi = cuts[i:j] - cuts[i], cuts[i + 1:j + 1] - cuts[i]
-        for k, p in enumerate(PRIMES):
+        for k, p in enumerate(PRIMES[:use]):
             down, up = _powers(k, _size(len(raw)), True), _powers(k, _size(len(raw)), False)
             prefix = np.r_[0, np.cumsum(raw * down[:len(raw)] % p)]
             out[k][i:j] = (prefix[hi] - prefix[lo]) % p * up[np.maximum(hi - 1, 0)] % p
