@@ -4,7 +4,8 @@ Texts are lower-cased (A-Z), split into pieces at ``.,;:!?`` and line ends, and
 every language (null: ``und``)
 
 1. a scan hashes every run of one and two words with prefix polynomials in numpy, adds up equal runs of a slab and
-   emits fingerprint, check, count and one occurrence (text key, byte place, bytes); the shuffle adds up fingerprints;
+   emits fingerprint, check, count and one occurrence (text key, byte place); the shuffle adds up fingerprints, which
+   language and length are mixed into, so that a row is five numbers;
 2. for each greater length a further scan emits only runs whose two shorter runs may be frequent. A bitmap of ``BITMAP``
    bits, whatever the input, says so; it has false positives, which the count then drops, and no false negatives;
 3. a fingerprint that came with two different checks is a collision: its runs are counted again by their text
@@ -26,6 +27,8 @@ tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,10 +47,12 @@ ABSORB_PERCENT = 50
 TOP = 2000
 BITMAP = 1 << 27
 FEW_POINTERS = 1_000_000
+SLAB = 2 << 20
 KINDS = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
+_WORDS = re.compile(rb"[^ \t.,;:!?\n-\r]+")
 _FULL = (1 << 62) - 1
-_LANG_STEP = 40503
-_COUNTED = "lang string, n int, fp bigint, chk bigint, cnt bigint, text_key bigint, at bigint, size int"
+_COUNTED = "key bigint, chk bigint, cnt bigint, text_key bigint, spot bigint"
+_NAMES = ["key", "chk", "cnt", "text_key", "spot"]
 
 
 # -- runs of a slab ---------------------------------------------------------------------------------
@@ -87,61 +92,61 @@ def _longer(w, runs: _Runs, n: int, hashes, sizes, open_to: np.ndarray | None) -
                                                     sizes[word]), sizes[word] + 1 + runs.size[runs.code[first - 1]])
 
 
-def _marks(fp: np.ndarray, lang_mark: np.ndarray, bits: int) -> np.ndarray:
-    return (fp + lang_mark * _LANG_STEP) % bits
+def _salt(lang: str, n: int) -> int:
+    """What fingerprints of a language and length are mixed with."""
+    name = f"{n}:{lang}".encode()
+    return (zlib.crc32(name) << 30 ^ zlib.crc32(name[::-1])) & _FULL
 
 
-def _levels(w, row_lang, lang_mark, up_to: int, bitmap, bits: int, mask: int):
-    """``(n, runs, fp, chk)`` for each length; the last one pruned by ``bitmap`` of frequent runs one word shorter."""
+def _salts(langs: list[str], n: int) -> np.ndarray:
+    return np.array([_salt(x, n) for x in langs], np.int64)
+
+
+def _levels(w, row_lang, names, up_to: int, bitmap, bits: int, mask: int):
+    """``(n, runs, key, chk)`` for each length; the last one pruned by ``bitmap`` of frequent runs one word shorter."""
     hashes = rolling.word_hashes(w.vocab, w.cuts)
     sizes = np.diff(w.cuts)
     lang = row_lang[w.row]
-    runs = None
+    runs = key = None
     for n in range(1, up_to + 1):
         open_to = None
         if runs is not None and bitmap is not None and n == up_to:
-            mark = _marks(fp, lang_mark[lang[runs.first]], bits)                # noqa: F821 (of the length before)
-            good = (bitmap[mark >> 3] >> (mark & 7).astype(np.uint8) & 1).astype(bool)
-            open_to = np.r_[good, False][runs.code]
+            mark = key % bits
+            open_to = np.r_[(bitmap[mark >> 3] >> (mark & 7).astype(np.uint8) & 1).astype(bool), False][runs.code]
         runs = _single(w, lang, hashes, sizes) if n == 1 else _longer(w, runs, n, hashes, sizes, open_to)
         fp, chk = rolling.packed(runs.values)
-        fp &= mask
-        yield n, runs, lang[runs.first], fp, chk
-
+        salt = _salts(names, n)[lang[runs.first]]
+        key = (fp & mask) ^ salt
+        yield n, runs, key, chk ^ salt
 
-def _langs(col: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    import zlib
-    coded = col.dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    return coded.indices.to_numpy(), names, np.array([zlib.crc32(x.encode()) for x in names], np.int64)
 
-
-def _counter(up_to: int, emit: tuple[int, ...], bitmap, bits: int, mask: int):
+def _counter(up_to: int, emit: tuple[int, ...], bitmap, bits: int, mask: int, with_text: bool = False):
+    """Rows of ``_COUNTED`` for the runs whose length is in ``emit``: ``spot`` is the byte where the run starts, times 16, plus its length.
+    A row of length 0 has the number of all words of a language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            row_lang, names, lang_mark = _langs(b.column(0))
-            name = pa.array(names)
+            coded = b.column(0).dictionary_encode()
+            row_lang, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
             keys = b.column(1).to_numpy()
-            for w in slabs(b.column(2), KINDS, up_to - 1):
+            for w in slabs(b.column(2), KINDS, up_to - 1, limit=SLAB):
                 if not len(w.ids):
                     continue
-                for n, runs, lang, fp, chk in _levels(w, row_lang, lang_mark, up_to, bitmap.value if bitmap else None, bits, mask):
-                    if n not in emit or not len(fp):
+                for n, runs, key, chk in _levels(w, row_lang, names, up_to, bitmap.value if bitmap else None, bits, mask):
+                    if n not in emit or not len(key):
                         continue
                     begin = runs.first - n + 1
-                    at = w.start[begin]
-                    out = pa.RecordBatch.from_arrays(
-                        [name.take(pa.array(lang)), pa.array(np.full(len(fp), n, np.int32)), pa.array(fp), pa.array(chk), pa.array(runs.count),
-                         pa.array(keys[w.row[begin]]), pa.array(at), pa.array((w.end[runs.first] - at).astype(np.int32))],
-                        ["lang", "n", "fp", "chk", "cnt", "text_key", "at", "size"])
-                    yield out.filter(pa.array(runs.count > 0))
-                if 1 in emit:                                       # all words of a language: a row of length 0
+                    cols = [key, chk, runs.count, keys[w.row[begin]], w.start[begin] << 4 | n]
+                    if with_text:
+                        word = [w.vocab[s:e].tobytes() for s, e in zip(w.cuts[:-1], w.cuts[1:])]
+                        cols.append([b" ".join(word[i] for i in w.ids[s:s + n]) for s in begin])
+                    out = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _NAMES + ["phrase"][:with_text])
+                    yield out.filter(pa.array(runs.count > 0)) if up_to > 1 else out
+                if 1 in emit and not with_text:
                     total = np.bincount(row_lang[w.row], weights=w.fresh, minlength=len(names)).astype(np.int64)
-                    zero = pa.array(np.zeros(len(names), np.int64))
-                    yield pa.RecordBatch.from_arrays([name, pa.array(np.zeros(len(names), np.int32)), zero, zero, pa.array(total), zero, zero,
-                                                      pa.array(np.zeros(len(names), np.int32))], ["lang", "n", "fp", "chk", "cnt", "text_key", "at", "size"])
+                    salt, zero = _salts(names, 0), np.zeros(len(names), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (salt, zero, total, zero, zero)], _NAMES)
     return run
 
 
@@ -153,7 +158,7 @@ def _texts(docs: DataFrame, text: str, lang: str, id_col: str) -> DataFrame:
 
 def _bitmap(frequent: DataFrame, bits: int):
     """Bitmap of the frequent runs, in blocks of 4 KiB: at most ``bits / 8`` bytes come to the driver."""
-    mark = F.pmod(F.col("fp") + F.crc32(F.col("lang").cast("binary")) * _LANG_STEP, F.lit(bits)) + 1     # counted from 1
+    mark = F.pmod("key", F.lit(bits)) + 1                                    # Spark's blocks count from 1
     blocks = frequent.select(mark.alias("m")).groupBy(F.bitmap_bucket_number(F.col("m")).alias("block")) \
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("m"))).alias("bytes"))
     out = np.zeros((bits // 32768 + 1) * 4096, np.uint8)
@@ -164,97 +169,108 @@ def _bitmap(frequent: DataFrame, bits: int):
 
 # -- counting -----------------------------------------------------------------------------------------
 
+_LENGTH = "(spot & 15)"
+
+
 def frequent_runs(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, text: str = "text", lang: str = "lang",
                   id_col: str = "doc_id", bits: int = BITMAP, mask: int = _FULL) -> DataFrame:
-    """``lang, n, fp, chk, a`` and one occurrence of every run of 1 to ``max_words`` words found ``min_count`` times or
-    more, plus a row with ``n = 0`` for all words of a language."""
+    """``key, chk, a, text_key, spot`` of every run of 1 to ``max_words`` words (15 at most) found ``min_count`` times or
+    more, and a row of length 0 for all words of a language."""
+    if not 1 < max_words < 16:
+        raise ValueError("max_words must be from 2 to 15")
     src = _texts(docs, text, lang, id_col)
-    spark = docs.sparkSession
-    parts, bitmap = [], None
-    for n in range(min(2, max_words), max_words + 1):
+    out, bitmap = None, None
+    for n in range(2, max_words + 1):
         emit = (1, 2) if n == 2 else (n,)
         scan = src.mapInArrow(_counter(n, emit, bitmap, bits, mask), _COUNTED)
-        counts = scan.groupBy("lang", "n", "fp").agg(
-            F.sum("cnt").alias("a"), F.min("chk").alias("chk"), F.max("chk").alias("other"),
-            *[F.first(c).alias(c) for c in ("text_key", "at", "size")]).where(f"a >= {min_count} OR n = 0")
+        counts = scan.groupBy("key").agg(F.sum("cnt").alias("a"), F.min("chk").alias("chk"), F.max("chk").alias("other"),
+                                         F.first("text_key").alias("text_key"), F.first("spot").alias("spot")) \
+            .where(f"a >= {min_count} OR {_LENGTH} = 0")
         counts = written(counts, f"collocations-{n}")
-        clash = counts.where("chk <> other AND n > 0")
+        clash = counts.where("chk <> other")
+        counts = counts.drop("other")
         if not clash.isEmpty():
             again = recounted(src, clash, n, emit, mask).where(f"a >= {min_count}")
-            counts = written(counts.join(clash.select("lang", "n", "fp"), ["lang", "n", "fp"], "left_anti").drop("other")
-                             .unionByName(again), f"collocations-{n}")
-        else:
-            counts = counts.drop("other")
-        parts.append(counts)
+            counts = written(counts.join(clash.select("key"), "key", "left_anti").unionByName(again), f"collocations-{n}")
+        out = counts if out is None else out.unionByName(counts)
         if n < max_words:
-            bitmap = spark.sparkContext.broadcast(_bitmap(counts.where(f"n = {n}"), bits))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(counts.where(f"{_LENGTH} = {n}"), bits))
     return out
 
 
 def recounted(src: DataFrame, clash: DataFrame, up_to: int, emit: tuple[int, ...], mask: int) -> DataFrame:
     """Runs whose fingerprint collided, counted by their text."""
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            row_lang, names, lang_mark = _langs(b.column(0))
-            keys, name = b.column(1).to_numpy(), pa.array(names)
-            for w in slabs(b.column(2), KINDS, up_to - 1):
-                if not len(w.ids):
-                    continue
-                word = [w.vocab[s:e].tobytes() for s, e in zip(w.cuts[:-1], w.cuts[1:])]
-                for n, runs, lang, fp, chk in _levels(w, row_lang, lang_mark, up_to, None, 0, mask):
-                    if n not in emit or not len(fp):
-                        continue
-                    begin = runs.first - n + 1
-                    phrase = [b" ".join(word[w.ids[i]] for i in range(s, s + n)).decode("utf-8", "replace") for s in begin]
-                    out = pa.RecordBatch.from_arrays(
-                        [name.take(pa.array(lang)), pa.array(np.full(len(fp), n, np.int32)), pa.array(fp), pa.array(chk), pa.array(runs.count),
-                         pa.array(keys[w.row[begin]]), pa.array(w.start[begin]), pa.array((w.end[runs.first] - w.start[begin]).astype(np.int32)),
-                         pa.array(phrase)], ["lang", "n", "fp", "chk", "cnt", "text_key", "at", "size", "phrase"])
-                    yield out.filter(pa.array(runs.count > 0))
-    rows = src.mapInArrow(run, _COUNTED + ", phrase string")
-    return rows.join(clash.select("lang", "n", "fp"), ["lang", "n", "fp"], "left_semi").groupBy("lang", "n", "fp", "chk", "phrase").agg(
-        F.sum("cnt").alias("a"), *[F.first(c).alias(c) for c in ("text_key", "at", "size")]).drop("phrase")
+    rows = src.mapInArrow(_counter(up_to, emit, None, 0, mask, True), _COUNTED + ", phrase binary")
+    return rows.join(clash.select("key"), "key", "left_semi").groupBy("key", "chk", "phrase").agg(
+        F.sum("cnt").alias("a"), F.first("text_key").alias("text_key"), F.first("spot").alias("spot")).drop("phrase")
 
 
 # -- reading back ---------------------------------------------------------------------------------------
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Phrases at their occurrences, with fingerprints of their parts; a phrase that is not what was hashed is left out."""
-    for b in batches:
-        out: dict[str, list] = {c: [] for c in ("lang", "n", "fp", "chk", "a", "phrase", "parts")}
-        for text, spots in zip(b.column(0).cast(pa.large_binary()).to_pylist(), b.column(1).to_pylist()):
-            raw = np.frombuffer(text, np.uint8)
-            for s in spots:
-                bytes_ = np.where((65 <= (part := raw[s["at"]:s["at"] + s["size"]])) & (part <= 90), part + 32, part).astype(np.uint8).tobytes()
-                words = [x for x in bytes_.replace(b"\t", b" ").split(b" ") if x]
-                if len(words) != s["n"] or rolling.fingerprint(words)[1] != s["chk"]:
-                    continue
-                runs = {(i, j): rolling.fingerprint(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)
-                        if j - i < len(words)}
-                for k in ("lang", "n", "fp", "chk", "a"):
-                    out[k].append(s[k])
-                out["phrase"].append(b" ".join(words).decode("utf-8", "replace"))
-                out["parts"].append([{"i": i, "j": j, "chk": c} for (i, j), (f, c) in runs.items()])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out["lang"], pa.string()), pa.array(out["n"], pa.int32()), pa.array(out["fp"], pa.int64()), pa.array(out["chk"], pa.int64()),
-             pa.array(out["a"], pa.int64()), pa.array(out["phrase"], pa.string()),
-             pa.array(out["parts"], pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32()), ("chk", pa.int64())])))], list(out))
-
-
-def phrases(docs: DataFrame, runs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """Text of every frequent run of two words or more, read at its occurrence, and the checks of its parts ``i`` to ``j``."""
-    spots = runs.where("n > 1").select("text_key", F.struct("lang", "n", "fp", "chk", "a", "at", "size").alias("s"))
+_READ = "lang string, n int, key bigint, chk bigint, a bigint, phrase string, total bigint, parts array<struct<i:int,j:int,key:bigint,chk:bigint>>"
+
+
+def _read(found: list[tuple], n: int, mask: int) -> pa.RecordBatch:
+    """``found``: lang, words, key, check and count of runs of ``n`` words. What does not hash to its key and check is left out."""
+    langs, words, keys, checks, counts = zip(*found)
+    place: dict[bytes, int] = {}
+    ids = np.array([[place.setdefault(x, len(place)) for x in ws] for ws in words])
+    cuts = np.r_[0, np.cumsum([len(x) for x in place])].astype(np.int64)
+    hashes, sizes = rolling.word_hashes(np.frombuffer(b"".join(place), np.uint8), cuts), np.diff(cuts)
+    names = sorted(set(langs))
+    lang = np.searchsorted(names, langs)
+    salts = {m: _salts(names, m)[lang] for m in range(n + 1)}
+    parts, whole = [], None
+    for i in range(n):
+        run = [h[ids[:, i]] for h in hashes]
+        for j in range(i + 1, n + 1):
+            run = run if j == i + 1 else rolling.append(run, [h[ids[:, j - 1]] for h in hashes], sizes[ids[:, j - 1]])
+            fp, chk = rolling.packed(run)
+            pair = ((fp & mask) ^ salts[j - i], chk ^ salts[j - i])
+            if j - i == n:
+                whole = pair
+            else:
+                parts.append((i, j, *pair))
+    good = (whole[0] == np.array(keys)) & (whole[1] == np.array(checks))
+    m, k = len(found), len(parts)
+    flat = pa.StructArray.from_arrays([pa.array(np.tile(np.array([p[0] for p in parts], np.int32), m)), pa.array(np.tile(np.array([p[1] for p in parts], np.int32), m)),
+                                       pa.array(np.stack([p[2] for p in parts], 1).ravel()), pa.array(np.stack([p[3] for p in parts], 1).ravel())],
+                                      ["i", "j", "key", "chk"])
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1, dtype=np.int32) * k), flat)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(langs), pa.array(np.full(m, n, np.int32)), pa.array(keys, pa.int64()), pa.array(checks, pa.int64()), pa.array(counts, pa.int64()),
+         pa.array([b" ".join(ws).decode("utf-8", "replace") for ws in words]), pa.array(salts[0]), lists],
+        ["lang", "n", "key", "chk", "a", "phrase", "total", "parts"]).filter(pa.array(good))
+
+
+def _reader(mask: int):
+    """Phrases at their occurrences, with fingerprints of their parts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found: dict[int, list] = {}
+            for lang, text, spots in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), b.column(2).to_pylist()):
+                for s in spots:
+                    n, at, words = s["spot"] & 15, s["spot"] >> 4, []
+                    while len(words) < n and (m := _WORDS.match(text, at)):
+                        words.append(m.group().lower())
+                        at = m.end()
+                        while text[at:at + 1] in (b" ", b"\t"):
+                            at += 1
+                    if len(words) == n:
+                        found.setdefault(n, []).append((lang, words, s["key"], s["chk"], s["a"]))
+            for n, rows in found.items():
+                yield _read(rows, n, mask)
+    return run
+
+
+def phrases(docs: DataFrame, runs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", mask: int = _FULL) -> DataFrame:
+    """Text of every frequent run of two words or more, read at its occurrence, and fingerprints of its parts ``i`` to ``j``."""
+    spots = runs.where(f"{_LENGTH} > 1").select("text_key", F.struct("key", "chk", "a", "spot").alias("s"))
     few = spots.count() <= FEW_POINTERS
-    spots = spots.groupBy("text_key").agg(F.collect_list("s").alias("spots"))        # at most one a word of the text
+    spots = spots.groupBy("text_key").agg(F.collect_list("s").alias("spots"))        # fewer than the words of the text
     met = _texts(docs, text, lang, id_col).join(F.broadcast(spots) if few else spots, "text_key")
-    read = met.select("text", "spots").mapInArrow(
-        _reader, "lang string, n int, fp bigint, chk bigint, a bigint, phrase string, parts array<struct<i:int,j:int,chk:bigint>>")
-    return read.dropDuplicates(["lang", "n", "fp", "chk"])           # repeated rows show an occurrence twice
+    read = met.select("lang", "text", "spots").mapInArrow(_reader(mask), _READ)
+    return read.dropDuplicates(["key", "chk"])                       # repeated rows show an occurrence twice
 
 
 def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, top: int | None = TOP,
@@ -262,26 +278,24 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
                  bits: int = BITMAP, mask: int = _FULL) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the best ``top`` phrases of each language (all, if None)."""
     runs = frequent_runs(docs, max_words, min_count, text, lang, id_col, bits, mask)
-    found = written(phrases(docs, runs, text, lang, id_col), "collocations-phrases")
-    key = ["lang", "chk", "n"]
-    counts = runs.where("n > 0").select("lang", F.col("n").alias("m"), F.col("chk").alias("part"), F.col("a").alias("f"))
-    parts = found.select(*key, "a", F.explode("parts").alias("p")).select(
-        *key, "a", F.col("p.i").alias("i"), F.col("p.j").alias("j"), (F.col("p.j") - F.col("p.i")).alias("m"), F.col("p.chk").alias("part"))
+    found = written(phrases(docs, runs, text, lang, id_col, mask), "collocations-phrases")
+    me = ["key", "chk"]
+    counts = runs.select(F.col("key").alias("part"), F.col("chk").alias("part_chk"), F.col("a").alias("f"))
+    parts = found.select(*me, "n", "a", F.explode("parts").alias("p")).select(
+        *me, "n", "a", "p.i", "p.j", F.col("p.key").alias("part"), F.col("p.chk").alias("part_chk"))
     # parts at either end have the counts of a cut; parts of two words or more may be absorbed
-    ends = parts.where("i = 0 OR j = n").withColumn("k", F.expr("CASE WHEN i = 0 THEN j ELSE i END"))
-    sides = ends.join(counts, ["lang", "m", "part"]).groupBy(*key, "k").agg(
-        F.max(F.expr("CASE WHEN i = 0 THEN f END")).alias("l"), F.max(F.expr("CASE WHEN i > 0 THEN f END")).alias("r"))
-    taken = parts.where("m > 1").groupBy("lang", F.col("m").alias("n"), F.col("part").alias("chk")).agg(F.max("a").alias("longest"))
+    sides = parts.where("i = 0 OR j = n").withColumn("k", F.expr("CASE WHEN i = 0 THEN j ELSE i END")) \
+        .join(counts, ["part", "part_chk"]).groupBy(*me, "k").agg(
+            F.max(F.expr("CASE WHEN i = 0 THEN f END")).alias("l"), F.max(F.expr("CASE WHEN i > 0 THEN f END")).alias("r"), F.max("a").alias("a"))
+    taken = parts.where("j - i > 1").groupBy(F.col("part").alias("key"), F.col("part_chk").alias("chk")).agg(F.max("a").alias("longest"))
     exact = lambda c: f"CAST({c} AS DECIMAL(19, 0))"
     score = F.expr(f"(CAST(1000000 AS DECIMAL(7, 0)) * {exact('a')} * {exact('a')}) div ({exact('l')} * {exact('r')})")
-    cut = sides.join(found.select(*key, "a"), key).withColumn("score", score.cast("bigint")) \
-        .groupBy(*key).agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
-    left = found.select(*key, "a", "phrase").join(taken, key, "left") \
-        .where(f"longest IS NULL OR CAST(100 AS DECIMAL(3, 0)) * longest < CAST({absorb_percent} AS DECIMAL(3, 0)) * a") \
-        .join(cut, key)
-    words = runs.where("n = 0").select("lang", F.col("a").alias("words"))           # one row a language
-    out = left.join(words, "lang").select("lang", "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"),
-                                          F.col("words").alias("n"), F.col("c.score").alias("score"))
+    cut = sides.withColumn("score", score.cast("bigint")).groupBy(*me).agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
+    left = found.drop("parts").join(taken, me, "left") \
+        .where(f"longest IS NULL OR CAST(100 AS DECIMAL(3, 0)) * longest < CAST({absorb_percent} AS DECIMAL(3, 0)) * a").join(cut, me)
+    words = runs.where(f"{_LENGTH} = 0").select(F.col("key").alias("total"), F.col("a").alias("words"))           # one row a language
+    out = left.join(words, "total").select("lang", "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"),
+                                           F.col("words").alias("n"), F.col("c.score").alias("score"))
     w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = out.withColumn("rank", F.row_number().over(w).cast("bigint"))
     return (ranked if top is None else ranked.where(F.col("rank") <= top)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
