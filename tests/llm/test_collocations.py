@@ -86,6 +86,15 @@ def test_collisions_are_recounted_by_text(spark, mask):
     assert got(spark, rows, mask=mask) == brute(rows)
 
 
+def test_places_in_a_text_over_one_mebibyte(spark):
+    rnd = random.Random(1)
+    words = [f"q{i}" for i in range(400)]
+    long = " ".join(rnd.choice(words) for _ in range(330_000))
+    assert len(long) > C._PLACES
+    rows = [(1, long + " only late pair" * 12 + ".", "en"), (2, "only late", "en")]
+    assert got(spark, rows) == brute(rows)
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
     assert C.collocations(spark.createDataFrame([], SCHEMA)).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]

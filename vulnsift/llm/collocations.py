@@ -4,8 +4,8 @@ Texts are lower-cased (A-Z), split into pieces at ``.,;:!?`` and line ends, and
 every language (null: ``und``)
 
 1. a scan hashes every run of one and two words with prefix polynomials in numpy, adds up equal runs of a slab and
-   emits fingerprint, check, count and one occurrence (text key, byte place); the shuffle adds up fingerprints, which
-   language and length are mixed into, so that a row is five numbers;
+   emits fingerprint, check, count and one occurrence (text and byte place); the shuffle adds up fingerprints, which
+   language and length are mixed into, so that a row is four numbers;
 2. for each greater length a further scan emits only runs whose two shorter runs may be frequent. A bitmap of ``BITMAP``
    bits, whatever the input, says so; it has false positives, which the count then drops, and no false negatives;
 3. a fingerprint that came with two different checks is a collision: its runs are counted again by their text
@@ -16,9 +16,9 @@ every language (null: ``und``)
 ``collocations`` then scores each phrase at its weakest cut, with exact decimals, drops those inside a longer phrase that is at least half as
 frequent, and keeps the best of each language.
 
-Memory: a slab of texts, a bitmap of fixed size, never a table of phrases in a worker. The occurrences are broadcast only
-when they are few (counted); otherwise they meet the texts in a shuffle. A common word is a few rows per task, since slabs and
-map-side sums come first.
+Memory: a slab of texts and bitmaps of fixed size, never a table of phrases in a worker. Of all occurrences of a phrase the one in the
+text of the smallest hash is kept, so that few texts are shuffled to meet them; a bitmap drops the others before. A common word
+is a few rows per task, since slabs and map-side sums come first.
 
 Defined cases: null text is empty and has no words; a null language is ``und``; null and repeated ids do not matter,
 every row counts; very long texts are read in overlapping windows; ties of score go by count, then by phrase in byte order; empty
@@ -46,13 +46,17 @@ MAX_WORDS = 3
 ABSORB_PERCENT = 50
 TOP = 2000
 BITMAP = 1 << 27
-FEW_POINTERS = 1_000_000
 SLAB = 2 << 20
 KINDS = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 _WORDS = re.compile(rb"[^ \t.,;:!?\n-\r]+")
 _FULL = (1 << 62) - 1
-_COUNTED = "key bigint, chk bigint, cnt bigint, text_key bigint, spot bigint"
-_NAMES = ["key", "chk", "cnt", "text_key", "spot"]
+_CHECK = (1 << 31) - 1
+# an occurrence is one number: 40 bits of the text's hash, 20 bits of the byte where the run starts, 4 bits of its length. In a text over
+# 1 MiB several places agree in these 20 bits; the fingerprint tells which is meant.
+_PLACES = 1 << 20
+_COUNTED = "key bigint, chk bigint, cnt bigint, spot bigint"
+_NAMES = ["key", "chk", "cnt", "spot"]
+_LENGTH, _TEXT_OF = "(spot & 15)", "shiftrightunsigned(spot, 24)"
 
 
 # -- runs of a slab ---------------------------------------------------------------------------------
@@ -111,18 +115,16 @@ def _levels(w, row_lang, names, up_to: int, bitmap, bits: int, mask: int):
     for n in range(1, up_to + 1):
         open_to = None
         if runs is not None and bitmap is not None and n == up_to:
-            mark = key % bits
-            open_to = np.r_[(bitmap[mark >> 3] >> (mark & 7).astype(np.uint8) & 1).astype(bool), False][runs.code]
+            open_to = np.r_[_marked(bitmap, key, bits), False][runs.code]
         runs = _single(w, lang, hashes, sizes) if n == 1 else _longer(w, runs, n, hashes, sizes, open_to)
         fp, chk = rolling.packed(runs.values)
         salt = _salts(names, n)[lang[runs.first]]
         key = (fp & mask) ^ salt
-        yield n, runs, key, chk ^ salt
+        yield n, runs, key, chk ^ (salt & _CHECK)
 
 
 def _counter(up_to: int, emit: tuple[int, ...], bitmap, bits: int, mask: int, with_text: bool = False):
-    """Rows of ``_COUNTED`` for the runs whose length is in ``emit``: ``spot`` is the byte where the run starts, times 16, plus its length.
-    A row of length 0 has the number of all words of a language."""
+    """Rows of ``_COUNTED`` for the runs whose length is in ``emit``. A row of length 0 has the number of all words of a language."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -137,7 +139,7 @@ def _counter(up_to: int, emit: tuple[int, ...], bitmap, bits: int, mask: int, wi
                     if n not in emit or not len(key):
                         continue
                     begin = runs.first - n + 1
-                    cols = [key, chk, runs.count, keys[w.row[begin]], w.start[begin] << 4 | n]
+                    cols = [key, chk, runs.count, keys[w.row[begin]] << 24 | w.start[begin] % _PLACES << 4 | n]
                     if with_text:
                         word = [w.vocab[s:e].tobytes() for s, e in zip(w.cuts[:-1], w.cuts[1:])]
                         cols.append([b" ".join(word[i] for i in w.ids[s:s + n]) for s in begin])
@@ -146,35 +148,37 @@ def _counter(up_to: int, emit: tuple[int, ...], bitmap, bits: int, mask: int, wi
                 if 1 in emit and not with_text:
                     total = np.bincount(row_lang[w.row], weights=w.fresh, minlength=len(names)).astype(np.int64)
                     salt, zero = _salts(names, 0), np.zeros(len(names), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (salt, zero, total, zero, zero)], _NAMES)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (salt, zero, total, zero)], _NAMES)
     return run
 
 
 def _texts(docs: DataFrame, text: str, lang: str, id_col: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
-                       F.xxhash64(F.col(id_col), t).alias("text_key"), t.alias("text"))
+                       F.shiftrightunsigned(F.xxhash64(F.col(id_col), t), 24).alias("text_key"), t.alias("text"))
 
 
-def _bitmap(frequent: DataFrame, bits: int):
-    """Bitmap of the frequent runs, in blocks of 4 KiB: at most ``bits / 8`` bytes come to the driver."""
-    mark = F.pmod("key", F.lit(bits)) + 1                                    # Spark's blocks count from 1
-    blocks = frequent.select(mark.alias("m")).groupBy(F.bitmap_bucket_number(F.col("m")).alias("block")) \
+def _bitmap(df: DataFrame, key: str, bits: int):
+    """Broadcast bitmap of the values of ``key``, in blocks of 4 KiB: at most ``bits / 8`` bytes come to the driver."""
+    mark = F.pmod(F.expr(key), F.lit(bits)) + 1                              # Spark's blocks count from 1
+    blocks = df.select(mark.alias("m")).groupBy(F.bitmap_bucket_number(F.col("m")).alias("block")) \
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("m"))).alias("bytes"))
     out = np.zeros((bits // 32768 + 1) * 4096, np.uint8)
     for r in blocks.collect():                          # at most bits / 32768 + 1 rows
         out[(r.block - 1) * 4096:r.block * 4096] = np.frombuffer(r.bytes, np.uint8)
-    return out
+    return df.sparkSession.sparkContext.broadcast(out)
 
 
-# -- counting -----------------------------------------------------------------------------------------
+def _marked(bitmap: np.ndarray, values: np.ndarray, bits: int) -> np.ndarray:
+    mark = values % bits
+    return (bitmap[mark >> 3] >> (mark & 7).astype(np.uint8) & 1).astype(bool)
 
-_LENGTH = "(spot & 15)"
 
+# -- counting -----------------------------------------------------------------------------------------
 
 def frequent_runs(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, text: str = "text", lang: str = "lang",
                   id_col: str = "doc_id", bits: int = BITMAP, mask: int = _FULL) -> DataFrame:
-    """``key, chk, a, text_key, spot`` of every run of 1 to ``max_words`` words (15 at most) found ``min_count`` times or
+    """``key, chk, a, spot`` of every run of 1 to ``max_words`` words (15 at most) found ``min_count`` times or
     more, and a row of length 0 for all words of a language."""
     if not 1 < max_words < 16:
         raise ValueError("max_words must be from 2 to 15")
@@ -183,8 +187,7 @@ def frequent_runs(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int =
     for n in range(2, max_words + 1):
         emit = (1, 2) if n == 2 else (n,)
         scan = src.mapInArrow(_counter(n, emit, bitmap, bits, mask), _COUNTED)
-        counts = scan.groupBy("key").agg(F.sum("cnt").alias("a"), F.min("chk").alias("chk"), F.max("chk").alias("other"),
-                                         F.first("text_key").alias("text_key"), F.first("spot").alias("spot")) \
+        counts = scan.groupBy("key").agg(F.sum("cnt").alias("a"), F.min("chk").alias("chk"), F.max("chk").alias("other"), F.min("spot").alias("spot")) \
             .where(f"a >= {min_count} OR {_LENGTH} = 0")
         counts = written(counts, f"collocations-{n}")
         clash = counts.where("chk <> other")
@@ -194,7 +197,7 @@ def frequent_runs(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int =
             counts = written(counts.join(clash.select("key"), "key", "left_anti").unionByName(again), f"collocations-{n}")
         out = counts if out is None else out.unionByName(counts)
         if n < max_words:
-            bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(counts.where(f"{_LENGTH} = {n}"), bits))
+            bitmap = _bitmap(counts.where(f"{_LENGTH} = {n}"), "key", bits)
     return out
 
 
@@ -202,7 +205,7 @@ def recounted(src: DataFrame, clash: DataFrame, up_to: int, emit: tuple[int, ...
     """Runs whose fingerprint collided, counted by their text."""
     rows = src.mapInArrow(_counter(up_to, emit, None, 0, mask, True), _COUNTED + ", phrase binary")
     return rows.join(clash.select("key"), "key", "left_semi").groupBy("key", "chk", "phrase").agg(
-        F.sum("cnt").alias("a"), F.first("text_key").alias("text_key"), F.first("spot").alias("spot")).drop("phrase")
+        F.sum("cnt").alias("a"), F.min("spot").alias("spot")).drop("phrase")
 
 
 # -- reading back ---------------------------------------------------------------------------------------
@@ -226,7 +229,7 @@ def _read(found: list[tuple], n: int, mask: int) -> pa.RecordBatch:
         for j in range(i + 1, n + 1):
             run = run if j == i + 1 else rolling.append(run, [h[ids[:, j - 1]] for h in hashes], sizes[ids[:, j - 1]])
             fp, chk = rolling.packed(run)
-            pair = ((fp & mask) ^ salts[j - i], chk ^ salts[j - i])
+            pair = ((fp & mask) ^ salts[j - i], chk ^ (salts[j - i] & _CHECK))
             if j - i == n:
                 whole = pair
             else:
@@ -243,6 +246,19 @@ def _read(found: list[tuple], n: int, mask: int) -> pa.RecordBatch:
         ["lang", "n", "key", "chk", "a", "phrase", "total", "parts"]).filter(pa.array(good))
 
 
+def _words_at(text: bytes, at: int, n: int) -> list[bytes] | None:
+    """The ``n`` words from a place on, None unless they are one run that starts there."""
+    if at and not KINDS[text[at - 1]]:
+        return None
+    words = []
+    while len(words) < n and (m := _WORDS.match(text, at)):
+        words.append(m.group().lower())
+        at = m.end()
+        while text[at:at + 1] in (b" ", b"\t"):
+            at += 1
+    return words if len(words) == n else None
+
+
 def _reader(mask: int):
     """Phrases at their occurrences, with fingerprints of their parts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,25 +266,27 @@ def _reader(mask: int):
             found: dict[int, list] = {}
             for lang, text, spots in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), b.column(2).to_pylist()):
                 for s in spots:
-                    n, at, words = s["spot"] & 15, s["spot"] >> 4, []
-                    while len(words) < n and (m := _WORDS.match(text, at)):
-                        words.append(m.group().lower())
-                        at = m.end()
-                        while text[at:at + 1] in (b" ", b"\t"):
-                            at += 1
-                    if len(words) == n:
-                        found.setdefault(n, []).append((lang, words, s["key"], s["chk"], s["a"]))
+                    n = s["spot"] & 15
+                    for place in range(s["spot"] >> 4 & _PLACES - 1, len(text), _PLACES):
+                        if words := _words_at(text, place, n):
+                            found.setdefault(n, []).append((lang, words, s["key"], s["chk"], s["a"]))
             for n, rows in found.items():
                 yield _read(rows, n, mask)
     return run
 
 
-def phrases(docs: DataFrame, runs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", mask: int = _FULL) -> DataFrame:
+def phrases(docs: DataFrame, runs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", bits: int = BITMAP,
+            mask: int = _FULL) -> DataFrame:
     """Text of every frequent run of two words or more, read at its occurrence, and fingerprints of its parts ``i`` to ``j``."""
-    spots = runs.where(f"{_LENGTH} > 1").select("text_key", F.struct("key", "chk", "a", "spot").alias("s"))
-    few = spots.count() <= FEW_POINTERS
+    spots = runs.where(f"{_LENGTH} > 1").select(F.expr(_TEXT_OF).alias("text_key"), F.struct("key", "chk", "a", "spot").alias("s"))
+    bitmap = _bitmap(spots, "text_key", bits)
+
+    def needed(batches):
+        for b in batches:
+            yield b.filter(pa.array(_marked(bitmap.value, b.column(1).to_numpy(), bits)))
+
     spots = spots.groupBy("text_key").agg(F.collect_list("s").alias("spots"))        # fewer than the words of the text
-    met = _texts(docs, text, lang, id_col).join(F.broadcast(spots) if few else spots, "text_key")
+    met = _texts(docs, text, lang, id_col).mapInArrow(needed, "lang string, text_key bigint, text string").join(spots, "text_key")
     read = met.select("lang", "text", "spots").mapInArrow(_reader(mask), _READ)
     return read.dropDuplicates(["key", "chk"])                       # repeated rows show an occurrence twice
 
@@ -278,7 +296,7 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
                  bits: int = BITMAP, mask: int = _FULL) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the best ``top`` phrases of each language (all, if None)."""
     runs = frequent_runs(docs, max_words, min_count, text, lang, id_col, bits, mask)
-    found = written(phrases(docs, runs, text, lang, id_col, mask), "collocations-phrases")
+    found = written(phrases(docs, runs, text, lang, id_col, bits, mask), "collocations-phrases")
     me = ["key", "chk"]
     counts = runs.select(F.col("key").alias("part"), F.col("chk").alias("part_chk"), F.col("a").alias("f"))
     parts = found.select(*me, "n", "a", F.explode("parts").alias("p")).select(
@@ -297,5 +315,6 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
     out = left.join(words, "total").select("lang", "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"),
                                            F.col("words").alias("n"), F.col("c.score").alias("score"))
     w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = out.withColumn("rank", F.row_number().over(w).cast("bigint"))
-    return (ranked if top is None else ranked.where(F.col("rank") <= top)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    ranked = out.withColumn("rank", F.row_number().over(w))
+    best = ranked if top is None else ranked.where(F.col("rank") <= top)           # cut in each task before the shuffle
+    return best.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
