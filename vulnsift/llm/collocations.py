@@ -45,8 +45,9 @@ MIN_COUNT = 10
 MAX_WORDS = 3
 ABSORB_PERCENT = 50
 TOP = 2000
+PARTS = 16
 BITMAP = 1 << 27
-SLAB = 2 << 20
+SLAB = 1 << 20
 KINDS = byte_classes(b" \t", b".,;:!?\n\x0b\x0c\r")
 _WORDS = re.compile(rb"[^ \t.,;:!?\n-\r]+")
 _FULL = (1 << 62) - 1
@@ -314,7 +315,9 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = M
     words = runs.where(f"{_LENGTH} = 0").select(F.col("key").alias("total"), F.col("a").alias("words"))           # one row a language
     out = left.join(words, "total").select("lang", "phrase", "a", F.col("c.l").alias("l"), F.col("c.r").alias("r"),
                                            F.col("words").alias("n"), F.col("c.score").alias("score"))
-    w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = out.withColumn("rank", F.row_number().over(w))
-    best = ranked if top is None else ranked.where(F.col("rank") <= top)           # cut in each task before the shuffle
-    return best.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    best = (F.desc("score"), F.desc("a"), "phrase")
+    if top is not None:                                 # a language's best are sought in parts first, so that no task sorts all its phrases
+        part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*best)
+        out = out.withColumn("_place", F.row_number().over(part)).where(F.col("_place") <= top).drop("_place")
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("bigint"))
+    return (ranked if top is None else ranked.where(F.col("rank") <= top)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
