@@ -1,0 +1,63 @@
+import numpy as np
+import pytest
+
+from vulnsift.operators.knn import exact_knn
+from vulnsift.operators.pivot_knn import pruned_knn
+
+COLS = dict(query_id="id", query_vec="v", corpus_id="id", corpus_vec="v", out_corpus_id="cid")
+
+
+def frame(spark, x, kind="double"):
+    return spark.createDataFrame([(i, None if r is None else [float(v) for v in r]) for i, r in enumerate(x)], f"id long, v array<{kind}>").repartition(3)
+
+
+def clustered(n, dim, groups, seed=0, spread=0.05):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(groups, dim))
+    return c[rng.integers(groups, size=n)] + spread * rng.normal(size=(n, dim))
+
+
+def same(spark, queries, corpus, k, self_, **kw):
+    got = pruned_knn(queries, corpus, k, exclude_self=self_, **COLS, **kw)
+    want = exact_knn(queries, corpus, k, exclude_self=self_, **COLS)
+    cut = lambda d: sorted((r.query_id, r["rank"], r.cid, round(r.similarity, 5)) for r in d.collect())
+    assert cut(got) == cut(want)
+
+
+@pytest.mark.parametrize("self_", [True, False])
+def test_equals_the_exact_search(spark, self_):
+    df = frame(spark, clustered(400, 8, 12))
+    same(spark, df, df, 3, self_, block_bytes=64 * 40, query_rows=50)
+
+
+def test_without_clusters(spark):
+    df = frame(spark, np.random.default_rng(1).normal(size=(300, 32)))
+    same(spark, df.where("id % 3 = 0"), df, 4, True)
+
+
+def test_clusters_are_pruned_and_sent_to_few_blocks(spark):
+    df = frame(spark, clustered(2000, 16, 40, 3)).cache()
+    kw = dict(block_bytes=16 * 8 * 50, with_work=True)
+    rows = pruned_knn(df, df, 2, exclude_self=True, **COLS, **kw).where("rank = 1").collect()
+    assert len(rows) == 2000
+    assert np.mean([r.scored_share for r in rows]) < 0.1
+    assert np.mean([r.copies for r in rows]) < 8               # of about 40 blocks
+    same(spark, df, df, 2, True, block_bytes=16 * 8 * 50)
+
+
+def test_hot_vector_zeros_nulls_and_repeated_ids(spark):
+    x = list(clustered(120, 6, 5, 4))
+    x[10:60] = [x[3]] * 50
+    x[70] = x[71] = x[72] = np.zeros(6)
+    x[80] = None
+    df = frame(spark, x, "float").unionByName(frame(spark, [np.ones(6), -x[3], x[3]], "float"))
+    same(spark, df, df, 3, True, block_bytes=6 * 8 * 10, query_rows=7)
+    same(spark, df, df, 60, False)
+
+
+def test_small_and_empty(spark):
+    df = frame(spark, [[1.0, 0.0], [0.0, 1.0]])
+    same(spark, df, df, 5, True)
+    same(spark, df, frame(spark, [[0.0, 0.0]]), 2, False)
+    assert pruned_knn(df.where("id < 0"), df, 2, **COLS).count() == 0
+    assert pruned_knn(df, df.where("id < 0"), 2, **COLS).count() == 0
