@@ -1,0 +1,57 @@
+import json
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from vulnsift.sources import collection as C
+
+SCHEMA = "id string, document string, embedding array<double>, pos long"
+
+
+def rows(spark, ids, tag=""):
+    return spark.createDataFrame([(i, f"{tag}{i}", [1.0, 2.0], n) for n, i in enumerate(ids)], SCHEMA)
+
+
+def test_many_small_adds_keep_the_first_document(spark, tmp_path):
+    c = C.Collection.open_or_create(spark, str(tmp_path), "c")
+    for n in range(6):
+        c.add(rows(spark, [f"doc-{i}" for i in range(n * 5, n * 5 + 10)], f"{n}:"))
+    got = {r.id: r.document for r in c.read().collect()}
+    assert got == {f"doc-{i}": f"{max(0, i // 5 - 1)}:doc-{i}" for i in range(35)}
+    assert c.read().columns == ["id", "document", "embedding", "pos"]
+
+
+def test_an_add_reads_its_buckets_and_shuffles_no_stored_row(spark, tmp_path):
+    c = C.Collection.open_or_create(spark, str(tmp_path), "c")
+    c.add(rows(spark, [f"doc-{i}" for i in range(500)]))
+    bucket = F.pmod(F.xxhash64("id"), F.lit(C.BUCKETS)).cast("int").alias("bucket")
+    known = c.known_ids(rows(spark, ["doc-3", "new"]).select("id", bucket))
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"(?<!Broadcast)Exchange", plan) and "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "bucket#")
+    assert [r.id for r in known.collect()] == ["doc-3"]
+
+
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_large_and_small_batches_agree(spark, tmp_path, monkeypatch, few):
+    monkeypatch.setattr(C, "FEW_IDS", few)
+    c = C.Collection.open_or_create(spark, str(tmp_path / str(few)), "c")
+    c.add(rows(spark, ["a", "b", "b", None]))
+    c.add(rows(spark, ["b", "c", "a", "c"], "late:"))
+    assert sorted((r.id or "", r.document) for r in c.read().where("id IS NOT NULL").collect()) == [("a", "a"), ("b", "b"), ("c", "late:c")]
+
+
+def test_progress_of_every_batch_reaches_the_caller(spark, tmp_path):
+    from vulnsift.streaming.ingest import ingest_feed
+    item = lambda i: {"cve": {"CVE_data_meta": {"ID": f"CVE-{i}"}, "description": {"description_data": [{"lang": "en", "value": "x"}]}}}
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    (feed / "a.json").write_text(json.dumps({"CVE_Items": [item(1), item(2), {"cve": 5}]}))
+    (feed / "b.json").write_text('{"CVE_Items": [')
+    coll = C.Collection.open_or_create(spark, str(tmp_path / "coll"), "c")
+    seen = []
+    ingest_feed(spark, str(feed), coll, str(tmp_path / "ck"), on_progress=seen.append)
+    assert sum(p.items for p in seen) == 2 and sum(p.rejects for p in seen) == 2 and sum(p.documents for p in seen) == 2
+    (feed / "c.json").write_text(json.dumps({"CVE_Items": [item(2), item(3)]}))
+    ingest_feed(spark, str(feed), coll, str(tmp_path / "ck"), on_progress=seen.append)
+    assert (seen[-1].items, seen[-1].rejects, seen[-1].documents) == (2, 0, 2) and coll.read().count() == 3

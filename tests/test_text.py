@@ -75,3 +75,19 @@ def test_python_list_repr(spark):
 def test_cpe_clean(spark):
     df = spark.createDataFrame([("cpe:2.3:a:Brand#3:small gear:22",)], "u string")
     assert df.select(T.cpe_clean("u")).first()[0] == "aBrand3small gear22"
+
+
+def test_marked_tokenizer_equals_the_one_with_boundaries(spark):
+    import random
+
+    import duckdb
+    rnd = random.Random(4)
+    parts = ["CVE-2021-12345", "CVE-2021-123456ABC-2020-1234", "Apache 2.4.1", "Apache2.4", "Nginx  1.18.0", "192.168.1.10", "1.2", "XSS", "Éa", "é_b",
+             "snake_case", "_x", "a_", "9CVE-2020-1111", "ab", "The", "can't", "x.y", "٣٤.٥", "AB_c", "-", "..", " ", "\t", " ", "日本"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " ", "-", ".", ",", "\n"]) for _ in range(rnd.randrange(12))) for _ in range(400)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    ours = [list(r.t) for r in df.select("i", T.tech_tokens("t").alias("t")).orderBy("i").collect()]
+    con = duckdb.connect()
+    con.register("texts", df.toPandas())
+    twin = [r[0] for r in con.execute(f"SELECT {T.tech_tokens_sql('t')} FROM texts ORDER BY i").fetchall()]
+    assert ours == twin and sum(map(len, ours)) > 1000

@@ -113,6 +113,40 @@ def tech_tokens(text, stop_words: list[str] | None = None) -> Column:
     return F.filter(toks, lambda t: ~t.isin(*sw))         # literal IN list -> hash-set lookup
 
 
+# Where a word begins and ends, written into the text: an engine without look-around consumes these marks instead of testing
+# boundaries, and they are cut from the match afterwards.
+_OPEN, _CLOSE = "\ue000", "\ue001"
+
+
+def _marked_alternative(pattern: str) -> str:
+    """An alternative of the tokenizer over marked text. A boundary is a mark; inside a match, a separator closes a word and
+    opens the next; an alternative that may start anywhere takes the mark of a word it starts with."""
+    out = pattern.replace(r"\s*", f"(?:{_CLOSE}{SPACE_RUN}{_OPEN})?")
+    out = re.sub(r"\\\.|(?<=\})-", lambda m: _CLOSE + m.group(0) + _OPEN, out)
+    inner = out[3:-1] if out.startswith("(?:") and out.endswith(")") else out
+    if inner.startswith(r"\b"):
+        inner = _OPEN + inner[2:]
+    else:
+        inner = f"{_OPEN}?{inner}"
+    if inner.endswith(r"\b"):
+        inner = inner[:-2] + _CLOSE
+    return f"(?:{inner})".replace(r"\w", WORD).replace(r"\d", DIGIT)
+
+
+MARKED_TOKEN_PATTERN = "|".join(_marked_alternative(p) for p in TECH_TOKEN_ALTERNATIVES)
+
+
+def tech_tokens_sql(expr: str, stop_words: list[str] | None = None) -> str:
+    """SQL (DuckDB) twin of :func:`tech_tokens`; its engine has no look-around."""
+    sw = STOP_WORDS_EN if stop_words is None else stop_words
+    quoted = ", ".join("'" + w.replace("'", "''") + "'" for w in sw)
+    bare = f"regexp_replace(coalesce({expr}, ''), '[{_OPEN}{_CLOSE}]', '#', 'g')"
+    marked = f"regexp_replace({bare}, '({WORD_RUN})', '{_OPEN}\\1{_CLOSE}', 'g')"
+    found = f"list_transform(regexp_extract_all({marked}, '{MARKED_TOKEN_PATTERN}'), lambda x: regexp_replace(x, '[{_OPEN}{_CLOSE}]', '', 'g'))"
+    long = f"list_transform(list_filter({found}, lambda x: length(x) > 2), lambda x: lower(x))"
+    return f"list_filter({long}, lambda x: x NOT IN ({quoted}))" if sw else long
+
+
 def cpe_clean(uri) -> Column:
     """Remove ``[^a-zA-Z0-9\\s]`` and drop the first five characters (``cpe23``)."""
     return F.substring(F.regexp_replace(_c(uri), CPE_DROP_ENGINE, ""), 6, 1 << 30)

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from vulnsift.functions import text as T
@@ -81,10 +80,8 @@ SELECT (SELECT count(*) FROM adv_o) AS n_items, (SELECT count(*) FROM d) AS n_do
        (SELECT round(avg(length(documents)), 6) FROM d) AS avg_doc_len""")
 def feed_processing_stats(spark, sf_dir):
     """Items found, documents produced and mean document length, from one aggregate over the
-    items (reliable under task retries). ``observe`` still records a progress counter for the
-    log (G12); being accumulator-based it may over-count after a retry, so it is not the result."""
-    obs = Observation("feed_progress")
-    items = adv_items(spark, sf_dir).observe(obs, F.count(F.lit(1)).alias("n_items_seen"))
+    items (reliable under task retries)."""
+    items = adv_items(spark, sf_dir)
     entries = flatten_item(items, [f for f in ITEM_FIELDS if f in items.columns], skip=rest_skip)
     cid = F.col("cve.CVE_data_meta.ID")
     known = cid.isNotNull() & (cid != "unknown")

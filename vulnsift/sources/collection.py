@@ -3,9 +3,11 @@
 ``add`` is insert-if-absent, the documented behaviour of the reference's store: ids already
 in the collection are skipped, and within one batch the first row per id wins. Both steps are
 distributed: the in-batch dedupe is a ``min_by`` aggregate (partial aggregation, so a hot
-duplicated id never lands whole in one task) and the existing-id check is a left-anti join
-against the id column only. Appends go through the file committer, so a lost task is redone
-without duplicates.
+duplicated id never lands whole in one task) and the existing-id check reads ids only.
+
+Rows are stored in ``BUCKETS`` folders by a hash of the id. An add reads the ids of those buckets that its own ids fall into;
+if these are at most ``FEW_IDS`` (counted), they are broadcast, and no stored row is shuffled; a larger batch meets them in a
+shuffle join. Appends go through the file committer, so a lost task is redone without duplicates.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 DEFAULT_METADATA = {"hnsw:space": "cosine"}
+BUCKETS = 32
+FEW_IDS = 1_000_000
 
 
 def _missing(e: AnalysisException) -> bool:
@@ -55,19 +59,38 @@ class Collection:
             return None
         return {r.key: r.value for r in rows} if rows else None
 
-    def read(self) -> DataFrame:
+    def _stored(self) -> DataFrame | None:
         try:
             return self.spark.read.parquet(self.data_path)
         except AnalysisException as e:
             if not _missing(e):
                 raise
+            return None
+
+    def read(self) -> DataFrame:
+        stored = self._stored()
+        if stored is None:
             return self.spark.createDataFrame([], "id string, document string, embedding array<float>, pos bigint")
+        return stored.drop("bucket")
+
+    def known_ids(self, ids: DataFrame) -> DataFrame | None:
+        """Those of ``ids(id, bucket)``, all different, that are stored; None if nothing is."""
+        stored = self._stored()
+        if stored is None:
+            return None
+        n, buckets = ids.agg(F.count(F.lit(1)), F.collect_set("bucket")).first()          # at most BUCKETS numbers
+        held = stored.where(F.col("bucket").isin(buckets)).select("id")
+        if n <= FEW_IDS:
+            return F.broadcast(held.join(F.broadcast(ids.select("id")), "id", "left_semi"))
+        return ids.select("id").join(held, "id", "left_semi")
 
     def add(self, rows: DataFrame, order_col: str = "pos") -> None:
         """Append rows whose id is not stored yet; first row per id (by ``order_col``)."""
         cols = ["document", "embedding", order_col]
+        bucket = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(BUCKETS)).cast("int").alias("bucket")
         # ids already stored go first, so that nothing is embedded for them
-        fresh = rows.join(self.read().select("id"), "id", "left_anti")
+        known = self.known_ids(rows.select("id").distinct().select("id", bucket))
+        fresh = rows if known is None else rows.join(known, "id", "left_anti")
         first = fresh.groupBy("id").agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("r")) \
-            .select("id", *[F.col(f"r.{c}").alias(c) for c in cols])
-        first.write.mode("append").parquet(self.data_path)
+            .select("id", *[F.col(f"r.{c}").alias(c) for c in cols], bucket)
+        first.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.data_path)
