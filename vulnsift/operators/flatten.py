@@ -17,7 +17,8 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, BooleanType, DataType, MapType, StringType, StructType)
+from pyspark.sql.types import (ArrayType, BooleanType, DataType, IntegerType, MapType, NullType, StringType, StructType)
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from vulnsift.session import ship_package
 from vulnsift.functions.text import clean_text, py_bool_str, py_list_repr
@@ -89,24 +90,72 @@ def flatten_entries(c: Column, dt: DataType, key: Column | None = None, static_k
     return F.when(c.isNull(), _empty()).otherwise(_entry(key, _scalar_text(c, dt)))
 
 
-def _leaves(root, key: str) -> dict[str, str]:
-    """Flattened entries of one parsed JSON value, walked with an explicit stack (deep nesting is no recursion)."""
-    out: dict[str, str] = {}
+_KINDS = {str: "string", bool: "boolean", int: "number", float: "number", type(None): "null", list: "list"}
+
+
+def _typed_leaves(root, key: str) -> dict[str, tuple[str, str]]:
+    """Flattened entries of one parsed JSON value with the kind of each, walked with an explicit stack (deep nesting is no
+    recursion)."""
+    out: dict[str, tuple[str, str]] = {}
     todo = [(key, root)]
     while todo:
         k, v = todo.pop()
         if isinstance(v, dict):
             todo.extend((f"{k} {name}" if k else name, child) for name, child in reversed(v.items()))
+        elif isinstance(v, list) and v and all(type(x) is str for x in v):
+            out[k] = (" ".join(v), "list")
         elif isinstance(v, list):
-            if v and all(type(x) is str for x in v):
-                out[k] = " ".join(v)
-            else:
-                todo.extend((f"{k}_{i}", x if isinstance(x, dict) else str(x)) for i, x in reversed(list(enumerate(v))))
+            todo.extend((f"{k}_{i}", x if isinstance(x, dict) else _Item(x)) for i, x in reversed(list(enumerate(v))))
         else:
-            out[k] = str(v)
+            v = v.value if isinstance(v, _Item) else v
+            out[k] = (str(v), _KINDS[type(v)])
     return out
 
 
+class _Item:
+    """An element of a mixed list that is no object: it is printed, not walked."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def _leaves(root, key: str) -> dict[str, str]:
+    return {k: v for k, (v, _) in _typed_leaves(root, key).items()}
+
+
+class FlattenEntries:
+    """F1/F2/W9 as a table function: one row for each entry of a raw JSON text, in text order, for a lateral join.
+
+    Arguments: the text, and as constants the key to start from and whether to add ``kind``, the type that the value has in this
+    very text (string, number, boolean, null, list). ``analyze`` checks them and so decides the columns. A repeated flattened key keeps
+    its first place and last value; null and malformed text give no rows (F16). An item's entries are rows, so no
+    array of a whole item is kept, and a later filter or aggregate works entry by entry."""
+
+    @staticmethod
+    def analyze(text: AnalyzeArgument, root: AnalyzeArgument | None = None, kind: AnalyzeArgument | None = None) -> AnalyzeResult:
+        if not isinstance(text.dataType, (StringType, NullType)):
+            raise ValueError(f"flatten_entries needs JSON text, not {text.dataType.simpleString()}")
+        for name, arg in (("root", root), ("kind", kind)):
+            if arg is not None and not arg.isConstantExpression:
+                raise ValueError(f"{name} must be a constant")
+        out = StructType().add("pos", IntegerType()).add("key", StringType()).add("value", StringType())
+        return AnalyzeResult(out.add("kind", StringType()) if kind is not None and kind.value else out)
+
+    def eval(self, text, root="", kind=False):
+        try:
+            value = json.loads(text) if text is not None else {}
+        except (ValueError, RecursionError):
+            return
+        for pos, (k, (v, of)) in enumerate(_typed_leaves(value, root or "").items()):
+            yield (pos, k, v, of) if kind else (pos, k, v)
+
+
+def entry_rows(df: DataFrame, text: str, root_key: str = "", kind: bool = True) -> DataFrame:
+    """``df`` with a row for each entry of its JSON column: ``pos, key, value`` and ``kind``."""
+    flatten = F.udtf(FlattenEntries, useArrow=True)
+    return df.lateralJoin(flatten(F.col(text).outer(), F.lit(root_key), F.lit(kind)))
+
+
 def flatten_json(json_text: Column, root_key: str = "") -> Column:
     """F1/F2 of a raw JSON value, any keys at any depth, in text order; a batch Arrow function, because an ordered,
     schema-free walk is no built-in. A repeated flattened key keeps its first place and last value; null prints

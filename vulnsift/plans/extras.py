@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from vulnsift.functions import text as T
-from vulnsift.operators.flatten import advanced_document, flatten_item, flatten_json, rest_skip, sparse_documents
+from vulnsift.operators.flatten import advanced_document, entry_rows, flatten_item, flatten_json, rest_skip, sparse_documents
 from vulnsift.plans.feed import ADVANCED_SQL, ADV_SQL
 from vulnsift.plans.registry import query
 from vulnsift.session import checkpoint_dir
@@ -149,3 +149,24 @@ def feed_rejects_counts(spark, sf_dir):
     count = lambda what: F.count(F.when(F.col("reject") == what, 1)).cast("bigint")
     return bad.unionByName(good).agg(count("malformed file").alias("bad_files"), count("malformed item").alias("bad_items"),
                                      count("good").alias("good_items"))
+
+
+_WHOLE_ENTRIES = [("cve data_version", "'4.0'", "string"), ("cve CVE_data_meta ID", "'CVE-' || CAST(o_orderkey AS VARCHAR)", "string"),
+                  ("cve CVE_data_meta ASSIGNER", "'x@example.com'", "string"), ("cve CVE_data_meta STATE", "o_orderstatus", "string"),
+                  ("cve references reference_data_0 refsource", "'MISC'", "string"), ("cve references reference_data_0 tags", "o_orderstatus || ' T'", "list"),
+                  ("extra a b", "'last'", "string"), ("extra a flag", "'True'", "boolean"), ("extra nodes_0 n", "CAST(o_custkey AS VARCHAR)", "number"),
+                  ("extra nodes_0 children_0 p", "o_orderpriority", "string"), ("lastModifiedDate", "'None'", "null"),
+                  ("numbers_0", "'1'", "number"), ("numbers_1", "'2'", "number")]
+
+
+@query("feed_item_entries", ops=("F1", "F2", "F16", "W9", "P4"), sql=" UNION ALL ".join(
+    f"SELECT 'order' AS origin, o_orderkey AS id, {i} AS pos, '{k}' AS key, {v} AS value, '{t}' AS kind FROM orders"
+    for i, (k, v, t) in enumerate(_WHOLE_ENTRIES)) + """
+UNION ALL SELECT 'event', event_id, 0, 'props k', json_extract_string(props, '$.k'), 'number' FROM events""")
+def feed_item_entries(spark, sf_dir):
+    """Entries of whole raw items and of event properties as rows of a table function, in text order, with run-time types."""
+    items = table(spark, sf_dir, "orders").select(F.lit("order").alias("origin"), F.col("o_orderkey").alias("id"),
+                                                  F.to_json(_whole_item(), {"ignoreNullFields": "false"}).alias("json"))
+    events = table(spark, sf_dir, "events").select(F.lit("event").alias("origin"), F.col("event_id").alias("id"), F.col("props").alias("json"))
+    both = entry_rows(items, "json").unionByName(entry_rows(events, "json", "props"))
+    return both.select("origin", "id", "pos", "key", "value", "kind")
