@@ -4,8 +4,7 @@ Intended semantics (the reference kernels take a square root of the score and ad
 values; here it is ``softmax(q·k / sqrt(16)) · v``):
 
 * A1 projection: one matrix product per Arrow batch, no shuffle. A stored weight slice (dim x 16 floats) is read
-  row by row as a 16 x dim matrix, ``W[j, 16h+i]``. The weights are the model: their size is set by the
-  model's parameters, not by the data, and they are sent to the tasks once.
+  row by row as a 16 x dim matrix, ``W[j, 16h+i]``. The weights are measured, then sent to the tasks once.
 * ``sequence_attention``: sequences of bounded length, one group each, one shuffle.
 * ``attention``: sequences of any length. Queries and keys are cut into blocks of ``block`` tokens; every (query
   block, key block) pair is one cogroup, scored into online-softmax partials that a log-sum-exp rescale merges.
@@ -26,6 +25,7 @@ from vulnsift.operators.knn import _vectors
 from vulnsift.session import ship_package
 
 HEAD_DIM = 16
+WEIGHT_BYTES = 64 << 20
 _WIDE = "q array<double>, k array<double>, v array<double>"
 
 
@@ -42,6 +42,9 @@ def project_qkv(tokens: DataFrame, weights: DataFrame, vec: str = "vec", head_di
     Result: (seq_id, pos, q, k, v), each as wide as the vector."""
     spark = tokens.sparkSession
     ship_package(spark)
+    size = weights.agg(F.sum(F.size("wq") + F.size("wk") + F.size("wv"))).first()[0] or 0
+    if 8 * size > WEIGHT_BYTES:
+        raise ValueError(f"weights of {8 * size} bytes are more than the {WEIGHT_BYTES} that are sent to every task")
     w = weights.orderBy("r").toArrow()
     dim = w.num_rows
     held = spark.sparkContext.broadcast([_vectors(w.column(m), head_dim).reshape(head_dim, dim) for m in ("wq", "wk", "wv")])

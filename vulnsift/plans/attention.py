@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from vulnsift.functions.vectors import flatten_matrix, vadd, vmul, vslice
-from vulnsift.operators.attention import HEAD_DIM, project_qkv, sequence_attention
+from vulnsift.operators.attention import HEAD_DIM, attention, by_head, concat_heads, project_qkv, sequence_attention
 from vulnsift.operators.sequence import group_row_index, row_index
 from vulnsift.plans.registry import query
 from vulnsift.session import checkpoint_dir
@@ -68,6 +68,19 @@ def attention_pool(spark, sf_dir):
         "label", "segment", "pos", "vec_id", F.transform("attn", lambda x: F.round(x, 6)).alias("attn"))
 
 
+@query("attention_whole", ops=("A1", "A2", "A3", "A4", "A5", "J9", "G11"), sql=ATTN_SQL.replace(
+    f"i // {SEQ_LEN} AS seg, i % {SEQ_LEN} AS pos", "0 AS seg, i AS pos").replace("CAST(o.seg AS BIGINT) AS segment, ", ""))
+def attention_whole(spark, sf_dir):
+    """The same attention over all vectors of a label as one sequence, however long: blocks of queries and keys, merged by
+    log-sum-exp, so no task holds a sequence."""
+    dim = _dim(spark, sf_dir)
+    w = split_qkv(random_weights(spark, dim, 3 * HEAD_DIM, SEED), HEAD_DIM)
+    t = group_row_index(_tokens(spark, sf_dir), ["label"], ["vec_id"], out="pos").withColumnRenamed("label", "seq_id")
+    out = concat_heads(attention(by_head(project_qkv(t, w))))
+    return out.join(t.select("seq_id", "pos", "vec_id"), ["seq_id", "pos"]).select(
+        F.col("seq_id").alias("label"), "pos", "vec_id", F.transform("attn", lambda x: F.round(x, 6)).alias("attn"))
+
+
 @query("vector_algebra", ops=("X15", "X16", "X17", "P17", "G10"), sql="""
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings),
 p AS (SELECT x.vec_id, x.a, y.a AS b FROM e x JOIN e y ON y.vec_id = (SELECT min(vec_id) FROM e WHERE vec_id > x.vec_id))

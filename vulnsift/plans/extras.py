@@ -137,6 +137,18 @@ def feed_whole_items(spark, sf_dir):
     return sparse_documents(read_feed(spark, _write_whole(spark, sf_dir, "whole", False)), mode="basic").drop("pos")
 
 
+@query("feed_whole_items_advanced", ops=("S2", "F5", "F8", "F12", "F13", "F15", "W6"), sql=f"""
+SELECT 'cve-' || CAST(o_orderkey AS VARCHAR) AS id_cve, {T.clean_text_sql("""'assigner x@example.com reference_tag ' || o_orderstatus
+  || ' reference_tag T cve data_version 4.0 cve CVE_data_meta ID CVE-' || CAST(o_orderkey AS VARCHAR)
+  || ' cve CVE_data_meta ASSIGNER x@example.com cve CVE_data_meta STATE ' || o_orderstatus || ' extra a b last extra a flag True extra nodes_0 n ' || CAST(o_custkey AS VARCHAR)
+  || ' extra nodes_0 children_0 p ' || o_orderpriority || ' lastModifiedDate None numbers_0 1 numbers_1 2'""")} AS documents
+FROM orders""")
+def feed_whole_items_advanced(spark, sf_dir):
+    """Advanced documents of the same files: sections from the declared fields, the rest from the raw item's keys without the (case-
+    sensitive) fragments of the sections."""
+    return sparse_documents(read_feed(spark, _write_whole(spark, sf_dir, "whole", False)), mode="advanced").drop("pos")
+
+
 @query("feed_rejects", ops=("F16", "S2"), sql="""
 WITH o AS (SELECT o_orderkey // 500 AS f, o_orderkey % 50 = 0 AS bad FROM orders)
 SELECT count(DISTINCT CASE WHEN f % 3 = 1 THEN f END) AS bad_files,
