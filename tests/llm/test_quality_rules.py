@@ -79,3 +79,18 @@ def test_edge_cases(spark):
     empty = df.where(F.lit(False))
     assert Q.fit(empty, some) == [0.0] * Q.BUCKETS
     assert Q.report(empty, model).count() == 0
+
+
+def test_repeat_count_for_any_hashes(spark):
+    """Equal windows, windows that share 44 bits only, and windows in between, against a plain count."""
+    import random
+    rnd = random.Random(6)
+    rows = []
+    for i in range(300):
+        pool = [rnd.getrandbits(64) - 2**63 for _ in range(rnd.randrange(1, 40))]
+        pool += [((p + 2**63) ^ (rnd.randrange(1, 2**20) << 44)) - 2**63 for p in pool[:3]]
+        rows.append((i, [rnd.choice(pool) for _ in range(rnd.randrange(0, 60))]))
+    df = spark.createDataFrame(rows, "i int, h array<bigint>")
+    for r in df.select("i", "h", Q._repeats(F.col("h")).alias("n")).collect():
+        covered = {p + j for p, h in enumerate(r.h) if r.h.count(h) > 1 for j in range(3)}
+        assert r.n == len(covered)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from vulnsift.llm.common import cut, hash_share, id_text, let
 
-BUCKETS = 16_384
+BUCKETS = 16_384          # a power of two
 SMOOTHING = 1.0
 THRESHOLD = -0.4
 TRUSTED_ROWS = 100_000
@@ -48,8 +48,34 @@ def _windows(w: Column) -> Column:
         F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
 
 
+_PLACE_BITS = 20
+
+
 def _covered(hashes: Column) -> Column:
-    """Words inside windows that occur at least twice: equal windows meet by sorting (hash, place)."""
+    """Words inside windows that occur at least twice: equal windows meet by sorting numbers of 44 bits of hash and 20 bits of
+    place. Where windows agree in these 44 bits but not in all, or a text has more places, pairs of hash and place are sorted."""
+    mask = (1 << _PLACE_BITS) - 1
+
+    def same(a: Column, b: Column) -> Column:
+        return F.coalesce(F.shiftrightunsigned(a.bitwiseXOR(b), _PLACE_BITS) == 0, F.lit(False))
+
+    def place(e: Column) -> Column:
+        return e.bitwiseAND(mask).cast("int")
+
+    def spans(p: Column) -> Column:
+        return F.aggregate(F.transform(p, lambda v, j: F.coalesce(F.least(F.lit(3), v - F.get(p, j - 1)), F.lit(3))), F.lit(0), lambda a, v: a + v)
+
+    def count(twice: Column) -> Column:
+        unlike = F.filter(twice, lambda e, k: same(e, F.get(twice, k - 1))
+                          & (F.get(hashes, place(e)) != F.get(hashes, place(F.get(twice, k - 1)))))
+        return F.when(F.size(unlike) > 0, _covered_by_pairs(hashes)).otherwise(let(F.sort_array(F.transform(twice, place)), spans))
+
+    packed = F.sort_array(F.transform(hashes, lambda h, i: F.shiftleft(h, _PLACE_BITS).bitwiseOR(i.cast("bigint"))))
+    quick = let(packed, lambda s: let(F.filter(s, lambda e, k: same(e, F.get(s, k - 1)) | same(e, F.get(s, k + 1))), count))
+    return F.when(F.size(hashes) <= mask, quick).otherwise(_covered_by_pairs(hashes))
+
+
+def _covered_by_pairs(hashes: Column) -> Column:
     places = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     return let(places, lambda s: let(
         F.filter(s, lambda e, k: ((k > 0) & (F.get(s, k - 1)["h"] == e["h"])) | F.coalesce(
@@ -68,11 +94,11 @@ def _repeats(hashes: Column) -> Column:
 
 
 def with_word_counts(df: DataFrame, text: Column) -> DataFrame:
-    """Add ``n_words`` and ``n_repeat_words``. The windows are a column between, so that the test whether any
+    """Add ``n_words``, ``word_chars`` and ``n_repeat_words``. The windows are a column between, so that the test whether any
     repeats runs compiled. The words are bound inside one expression and never a column: should a filter be pushed
     below the projection, a lambda over a column would split the text anew for every word."""
-    facts = let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), _windows(w).alias("h")))
-    return df.withColumn("_qr", facts).withColumns({"n_words": F.col("_qr.n").cast("bigint"),
+    facts = let(words_of(text), lambda w: F.struct(F.size(w).alias("n"), F.length(F.concat_ws("", w)).alias("c"), _windows(w).alias("h")))
+    return df.withColumn("_qr", facts).withColumns({"n_words": F.col("_qr.n").cast("bigint"), "word_chars": F.col("_qr.c").cast("bigint"),
                                                     "n_repeat_words": _repeats(F.col("_qr.h"))}).drop("_qr")
 
 
@@ -81,8 +107,7 @@ def base_counts(text: str) -> list[Column]:
     t = F.col(text)
     lines = let(F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
                 lambda ls: F.size(ls) - F.size(F.array_distinct(ls)))
-    return [(F.length(t) - F.regexp_count(t, F.lit(r"[\x20\x09-\x0D]"))).cast("bigint").alias("word_chars"),
-            F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
+    return [F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("bigint").alias("n_symbols"),
             lines.cast("bigint").alias("n_dup_lines")]
 
 
@@ -92,14 +117,20 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 # -- the likelihood ratio ---------------------------------------------------------------------------
 
+def _token_hashes(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda x: F.hash(x))
+
+
+def _pair_buckets(hashes: Column) -> Column:
+    """Bucket of every pair of neighbouring tokens; each token is hashed once, a pair from the two hashes."""
+    return F.transform(F.slice(hashes, 2, F.size(hashes)), lambda x, i: F.hash(F.get(hashes, i), x).bitwiseAND(BUCKETS - 1))
+
+
 def ngram_buckets(text: Column) -> Column:
     """Bucket of every token and of every pair of neighbouring tokens."""
-    def hashed(tokens: Column) -> Column:
-        pairs = F.transform(F.slice(tokens, 2, F.size(tokens)),
-                            lambda x, i: F.pmod(F.xxhash64(F.get(tokens, i), x), F.lit(BUCKETS)).cast("int"))
-        single = F.transform(tokens, lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
-        return F.concat(single, F.when(F.size(tokens) > 1, pairs).otherwise(F.array().cast("array<int>")))
-    return let(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), hashed)
+    return let(_token_hashes(text), lambda hs: F.concat(
+        F.transform(hs, lambda x: x.bitwiseAND(BUCKETS - 1)),
+        F.when(F.size(hs) > 1, _pair_buckets(hs)).otherwise(F.array().cast("array<int>"))))
 
 
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED_ROWS) -> DataFrame:
@@ -128,14 +159,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
 def ratio_score(text: Column, model: list[float]) -> Column:
     """Mean log ratio over a text's n-grams, 0 for a text without any."""
     table = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")     # folded to one constant
-    return let(ngram_buckets(text), lambda bs: F.when(F.size(bs) > 0, F.aggregate(
-        bs, F.lit(0.0), lambda a, b: a + F.get(table, b)) / F.size(bs)).otherwise(F.lit(0.0)))
+
+    def mean(hashes: Column) -> Column:
+        singles = F.aggregate(hashes, F.lit(0.0), lambda a, x: a + F.get(table, x.bitwiseAND(BUCKETS - 1)))
+        both = F.aggregate(_pair_buckets(hashes), singles, lambda a, x: a + F.get(table, x))
+        n = F.size(hashes)
+        return F.when(n > 1, both / (2 * n - 1)).when(n == 1, singles).otherwise(F.lit(0.0))
+
+    return let(_token_hashes(text), mean)
 
 
 def report(docs: DataFrame, model: list[float], text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Base counts, score and verdict of every document."""
     base = with_word_counts(id_text(docs, text, id_col), F.col("text"))
-    counted = base.select("doc_id", "n_words", *base_counts("text"), "n_repeat_words", ratio_score(F.col("text"), model).alias("llr"))
+    counted = base.select("doc_id", "n_words", "word_chars", *base_counts("text"), "n_repeat_words", ratio_score(F.col("text"), model).alias("llr"))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return counted.withColumn("base_failed", failed) \
         .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= THRESHOLD)) \
