@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -43,6 +44,31 @@ def test_ids_equal_the_library(codec, library, monkeypatch):
         assert codec.decode(ids) == t == library.decode(want, skip_special_tokens=False)
 
 
+def test_long_pieces_equal_the_library(codec, library, monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (511, 512, 513, 5000, 40000)] + [
+        "a" * 9999, "ab" * 5000 + "a", "漢字" * 3000, "".join(rng.choices("日本語漢字書東西南北", k=6000)), "=-" * 3000 + "x y " + "the" * 2000]
+    for limit in (512, 3):
+        monkeypatch.setattr(bpe, "LONG_PIECE", limit)
+        codec._reset()
+        for t, ids in zip(texts, codec.encode(texts), strict=True):
+            assert list(ids) == library.encode(t, add_special_tokens=False).ids
+    words = hostile()
+    for t, ids in zip(words, codec.encode(words), strict=True):
+        assert list(ids) == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_a_long_piece_takes_time_by_its_length(codec):
+    """A round touches what it changes: reading 200,000 letters once a round would take minutes."""
+    rng, took = random.Random(4), []
+    for n in (50_000, 200_000):
+        piece = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)).encode()
+        start = time.process_time()
+        codec.merge([piece])
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0]
+
+
 def test_merge_equals_one_pair_at_a_time(codec):
     j = json.loads(bpe.read_spec(tokenizer_path()))
     rank = {tuple(m): i for i, m in enumerate(j["model"]["merges"])}

@@ -8,6 +8,10 @@ equal symbols every second one, from the left). A piece leaves the rounds when n
 has a rank. That is the same result as merging one pair at a time, because a merge only makes
 pairs of higher rank.
 
+Pieces of more than ``LONG_PIECE`` bytes (letters or symbols without white space) would be read whole once a round. They
+merge together, one rank a round for all of them: a heap gives the lowest rank, a table the places where it was seen, and
+only the pairs beside a merge are looked up anew, so a round costs what it changes and there are as many rounds as ranks occur.
+
 The vocabulary file is read once on the driver and broadcast: its size is fixed whatever
 the data. Work is narrow: no shuffle, batches of about a million characters, a long text in slices
 of tokens. The table of pieces already merged is emptied when it has ``CACHE_PIECES``
@@ -22,6 +26,7 @@ Unknown ids are refused by ``decode``; bytes that are not UTF-8 decode to U+FFFD
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -39,6 +44,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 CACHE_PIECES = 150_000
 BATCH_CHARS = 1_000_000
 SLICE_TOKENS = 200_000
+LONG_PIECE = 512
 _NONE = np.iinfo(np.int32).max
 
 
@@ -111,6 +117,79 @@ class Codec:
     # -- merging -----------------------------------------------------------------------------
     def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one piece after another, ids per piece)."""
+        long = np.fromiter((len(p) > LONG_PIECE for p in pieces), dtype=bool, count=len(pieces))
+        if not long.any():
+            return self._merge_short(pieces)
+        parts = [self._merge_short([p for p, x in zip(pieces, long) if not x]), self._merge_long([p for p, x in zip(pieces, long) if x])]
+        lens, starts = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
+        for mine, (ids, own), before in zip((~long, long), parts, (0, len(parts[0][0]))):
+            lens[mine], starts[mine] = own, before + np.cumsum(own) - own
+        return _gather(np.concatenate([ids for ids, _ in parts]), starts, lens), lens
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of every pair of symbols, ``_NONE`` without one."""
+        pair = (left.astype(np.int64) << 20) | right
+        at = np.searchsorted(self.keys, pair)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == pair, self.rank[at], _NONE)
+
+    def _merge_long(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        lens = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        sym = self.byte_id[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        n, ends = len(sym), np.cumsum(lens)
+        # neighbours by place; n stands for none and has a symbol of its own slot
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[ends - 1], before[ends - lens] = n, n
+        rank = np.full(n + 1, _NONE, dtype=np.int32)
+        rank[:n - 1] = self._ranks(sym[:-1], sym[1:])
+        rank[ends - 1] = _NONE
+        sym = np.append(sym, np.int32(-1))
+        there = np.ones(n + 1, dtype=bool)
+        seen: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def note(places: np.ndarray) -> None:
+            ranks = rank[places]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+            for a, b in zip(cuts, cuts[1:]):
+                r = int(ranks[a])
+                if r not in seen:
+                    seen[r] = []
+                    heapq.heappush(heap, r)
+                seen[r].append(places[a:b])
+
+        start = np.flatnonzero(rank[:n] != _NONE)
+        if len(start):
+            note(start)
+        while heap:
+            r = heapq.heappop(heap)
+            found = seen.pop(r)
+            take = np.unique(np.concatenate(found)) if len(found) > 1 else np.sort(found[0])
+            take = take[there[take] & (rank[take] == r)]        # others were changed by a merge since
+            if not len(take):
+                continue
+            if len(take) > 1:
+                run = np.r_[True, after[take[:-1]] != take[1:]]     # runs of one repeated symbol
+                at = np.arange(len(take))
+                take = take[(at - np.maximum.accumulate(np.where(run, at, 0))) % 2 == 0]
+            gone = after[take]
+            there[gone] = False
+            sym[take] = self.merged[r]
+            after[take] = after[gone]
+            before[after[take]] = take
+            beside = before[take]
+            again = np.unique(np.concatenate([take, beside[beside != n]]))
+            right = after[again]
+            rank[again] = np.where(right == n, _NONE, self._ranks(sym[again], sym[right]))
+            again = again[rank[again] != _NONE]
+            if len(again):
+                note(again)
+        word = np.repeat(np.arange(len(pieces)), lens)[there[:n]]
+        return sym[:n][there[:n]], np.bincount(word, minlength=len(pieces)).astype(np.int64)
+
+    def _merge_short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n = len(pieces)
         lens = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
         sym = self.byte_id[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
@@ -118,11 +197,7 @@ class Codec:
         out_sym, out_word = [], []
         while len(sym):
             rank = np.full(len(sym), _NONE, dtype=np.int32)
-            pair = (sym[:-1].astype(np.int64) << 20) | sym[1:]
-            at = np.searchsorted(self.keys, pair)
-            at[at == len(self.keys)] = 0
-            hit = (self.keys[at] == pair) & (word[1:] == word[:-1])
-            rank[:-1][hit] = self.rank[at[hit]]
+            rank[:-1] = np.where(word[1:] == word[:-1], self._ranks(sym[:-1], sym[1:]), _NONE)
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(rank, first)
             sizes = np.diff(np.r_[first, len(sym)])
