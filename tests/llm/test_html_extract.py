@@ -106,3 +106,32 @@ def test_large_pages_and_table_cases(spark):
 ])
 def test_articles_under_marked_wrappers_and_embedded_text(html, want):
     assert H.extract(html) == want
+
+
+@pytest.mark.parametrize("html,want", [
+    (f"<article><p>{P1}</p></article><script src=/a/>var x=1;</script><script/>alert(1)", P1),
+    (f"<article><p>{P1}</p><iframe src=x /><svg/><p>{P2}</p></article>", f"{P1}\n{P2}"),
+    (f"<article><p>{P1} <span class=ad>BUY NOW</span> {P2}</p></article>", f"{P1} {P2}"),
+    (f"<article><p><span class='sponsored ad'>BUY <b>NOW</b></span> {P1}</p><p><i class=ad>Buy it all now.</i></p></article>", P1),
+    (f"<article><p>{P1} <span hidden>no</span><span style='display:none'>no</span>{P2}</p></article>", f"{P1} {P2}"),
+    (f"<article><p>{P1}</p><pre>x = 1 <span class=comment># one</span></pre></article>", f"{P1}\nx = 1 # one"),
+    (f"<main><section class='related-work'><h2>Related work</h2><p>{P1}</p></section><p>{P2}</p></main>", f"Related work\n{P1}\n{P2}"),
+    (f"<article><p>{P1}</p><div class='menu-recipes'><p>{P2}</p></div></article>", f"{P1}\n{P2}"),
+    (f"<article><p>{P1}</p><div class='related-posts'><p>{P2}</p></div><div class=notice><p>{P2}</p></div></article>", P1),
+])
+def test_script_text_inline_adverts_and_subjects_named_like_parts(html, want):
+    assert H.extract(html) == want
+
+
+def test_the_cut_joins_a_short_block_of_a_subject_to_its_article():
+    bs = H.blocks(f"<article><div class='menu-recipes'><p>{P1}</p><p>Pancakes</p><p>{P2}</p></div></article>")
+    assert [H.score(b) > 0 for b in bs] == [True, False, True]
+    assert H.min_cut([H.score(b) for b in bs], H.edges(bs)) == [True, True, True]
+
+
+def test_nested_blocks_cost_memory_by_their_number():
+    depth = 40_000
+    bs = H.blocks("".join(f"<div>{i} " for i in range(depth)) + "</div>" * depth)
+    assert len(bs) == depth and bs[-1].node.depth == depth
+    assert H._near(bs[5].node, bs[5].node) == H.NEAR and H._near(bs[5].node, bs[8].node) == H.NEAR >> 2 and not H._near(bs[5].node, bs[50].node)
+    assert len(H.edges(bs)) >= depth - 1

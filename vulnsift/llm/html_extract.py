@@ -1,8 +1,8 @@
 """Main-text extraction from HTML by minimum-cut labelling.
 
 A page is read into text blocks (the text between block-level tags) with the open elements around
-each. A linear classifier over tag, class, link and text features gives each block an
-integer score: a positive score becomes the capacity of its edge from the content terminal, a
+each; an inline advert cuts its paragraph into pieces that are joined again if they stay. A linear classifier over tag, class, link and
+text features gives each block an integer score: a positive score becomes the capacity of its edge from the content terminal, a
 negative one that of its edge to the boilerplate terminal. Neighbouring blocks are tied by smoothness
 edges, stronger the closer they are in the DOM, and so are consecutive blocks of one parent.
 The minimum cut labels all blocks of the page at once: a short paragraph goes with the article it
@@ -11,8 +11,8 @@ stands in, a text-like notice with the bar it stands in. Blocks that the cut lea
 One narrow pass over the pages, one page at a time: no shuffle, memory bounded by a page.
 
 Defined cases: null or empty html, or a page without content, gives the empty text; unclosed and
-crossed tags are closed as they are met; an unclosed comment, script or style runs to the end; ``<br>``
-is white space inside a block; repeated rows are repeated; null ids are kept; an empty table
+crossed tags are closed as they are met; an unclosed comment, script or style runs to the end, also one written with a slash; ``<br>``
+is white space inside a block; deeply nested pages cost memory by their elements; repeated rows are repeated; null ids are kept; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -23,6 +23,7 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,16 +58,30 @@ CONTENT_WORDS = set("article content post entry story body main text maincontent
 LAYOUT_WORDS = set("with has no without page wrapper layout wrap container site".split())
 REMARK_WORDS = set("comment comments respond replies reply disqus".split())
 
+#: words that name a part of the page or, next to a word that names no part ("related-work"), a subject of the article
+SUBJECT_WORDS = set("related menu legal notice notices social sharing recommended alert promotion".split())
+PART_WORDS = set("""area articles bar block body bottom box btn button buttons card cards col column content group icon icons inner item items
+    left link links list main more news outer page panel post posts right row section sections site stories story text title top wrap wrapper""".split())
+#: words of adverts that stand inside a line
+ADVERT_WORDS = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo".split())
+
 HARD, NAMED, SOFT = 60, 50, 20      # boilerplate marks: by element, by class word, by a mixed class
 REMARK, FIRM = 1, 2                 # marks that an article inside does not lift: by remark words (the page's first article does), by element or role
 NEAR, SIBLING = 12, 8
 
 
+@dataclass(slots=True, eq=False)
+class _Node:
+    """A block-level element."""
+    key: int                        # number of the element on the page
+    above: _Node | None
+    depth: int
+
+
 @dataclass(slots=True)
 class _Open:
     tag: str
-    key: int                        # number of the element on the page
-    depth: int
+    node: _Node                     # the innermost block-level element
     in_article: bool
     chrome: int                     # strongest boilerplate mark on the way down, 0 if none
     firm: int
@@ -74,17 +89,29 @@ class _Open:
     hidden: bool
     link: bool
     heading: bool
+    advert: bool = False            # inside a line
 
 
 @dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[int, ...]           # block-level elements around it, outermost first
+    node: _Node
     in_article: bool
     chrome: int
     content: bool
     heading: bool
     link_chars: int
+    line: int = 0                   # pieces of one line have the same number
+    raw: str = ""                   # the text before white space is trimmed
+
+
+def _mark(words: set[str], named: list[set[str]], in_article: bool) -> int:
+    """How much the class words speak for boilerplate."""
+    hits = words & CHROME_WORDS
+    if in_article and hits <= SUBJECT_WORDS and not words & HEADER_WORDS and all(
+            n - CHROME_WORDS - PART_WORDS for n in named if n & hits):
+        return SOFT
+    return NAMED if in_article or not words & CONTENT_WORDS else SOFT
 
 
 def _open(tag: str, attrs: str, key: int, above: _Open, first: bool = True) -> _Open:
@@ -93,11 +120,13 @@ def _open(tag: str, attrs: str, key: int, above: _Open, first: bool = True) -> _
     if tag in ("article", "main") and not above.in_article and (firm == 0 or firm == REMARK and first):
         chrome = firm = 0            # a form or a wrapper named after a part of it still holds the article
     words: set[str] = set()
+    named: list[set[str]] = []      # words of each class
     if attrs:
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
             if name in ("class", "id"):
-                words |= set(_WORDS.findall(value))
+                named += [set(_WORDS.findall(v)) for v in value.split()]
+                words = words.union(*named)
             elif name == "role" and value in CHROME_ROLES:
                 chrome, firm = HARD, FIRM
             elif name == "hidden" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -108,42 +137,47 @@ def _open(tag: str, attrs: str, key: int, above: _Open, first: bool = True) -> _
         if words & REMARK_WORDS and not words & LAYOUT_WORDS:
             chrome, firm = HARD, max(firm, REMARK)
         elif (words & CHROME_WORDS or words & HEADER_WORDS and not in_article) and not words & LAYOUT_WORDS:
-            chrome = max(chrome, NAMED if in_article or not words & CONTENT_WORDS else SOFT)
+            chrome = max(chrome, _mark(words, named, in_article))
         elif words & CONTENT_WORDS:
             content = True
     elif words and tag == "article" and words & REMARK_WORDS and not words & LAYOUT_WORDS:
         chrome = HARD
-    return _Open(tag, key, above.depth + 1, in_article, chrome, firm, content, hidden, above.link or tag == "a",
-                 tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
+    inline = tag not in BLOCK
+    advert = inline and (above.advert or bool(words & ADVERT_WORDS and not words & LAYOUT_WORDS))
+    return _Open(tag, above.node if inline else _Node(key, above.node, above.node.depth + 1), in_article, chrome, firm, content, hidden,
+                 above.link or tag == "a", above.heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), advert)
 
 
 def blocks(html: str) -> list[Block]:
     """The page's text blocks in page order; markup, comments and raw-text elements are gone."""
-    stack = [_Open("", 0, 0, False, 0, 0, False, False, False, False)]
+    stack = [_Open("", _Node(0, None, 0), False, 0, 0, False, False, False, False)]
     out: list[Block] = []
-    parts: list[str] = []
-    link_chars = 0
+    parts: list[tuple[str, bool, bool]] = []        # text, whether of an advert, whether of a link
     key = 0
+    lines = 0
     first = True                    # no article or main so far
 
     def flush():
-        nonlocal parts, link_chars
-        if parts:
-            text = " ".join("".join(parts).split())
-            top = stack[-1]
-            if text and not top.hidden:
-                out.append(Block(text, tuple(e.key for e in stack if e.tag in BLOCK), top.in_article, top.chrome,
-                                 top.content, any(e.heading for e in stack), link_chars))
-            parts, link_chars = [], 0
+        nonlocal parts, lines
+        top = stack[-1]
+        if parts and not top.hidden:
+            lines += 1
+            for advert, run in groupby(parts, key=lambda part: part[1]):
+                run = list(run)
+                raw = "".join(chunk for chunk, _, _ in run)
+                if text := " ".join(raw.split()):
+                    out.append(Block(text, top.node, top.in_article, max(top.chrome, NAMED) if advert else top.chrome, top.content, top.heading,
+                                     sum(len(chunk) for chunk, _, link in run if link), lines, raw))
+        parts = []
 
     at, n = 0, len(html)
     while at < n:
         lt = html.find("<", at)
         if lt != at:
             chunk = unescape(html[at:lt if lt >= 0 else n])
-            parts.append(chunk)
-            if stack[-1].link:
-                link_chars += len(chunk)
+            top = stack[-1]
+            if not top.hidden:
+                parts.append((chunk, top.advert, top.link))
             if lt < 0:
                 break
         nxt = html[lt + 1:lt + 2]
@@ -157,7 +191,8 @@ def blocks(html: str) -> list[Block]:
             continue
         m = _TAG.match(html, lt)
         if not m:
-            parts.append("<")
+            if not stack[-1].hidden:
+                parts.append(("<", stack[-1].advert, False))
             at = lt + 1
             continue
         at, tag = m.end(), m[1].lower()
@@ -173,12 +208,17 @@ def blocks(html: str) -> list[Block]:
                     break
             continue
         if tag in RAW:
-            if not m[2].endswith("/"):
+            # of these only an svg can end with its own slash; others written so are taken at their word if nothing closes them
+            closed = m[2].endswith("/")
+            if not (closed and tag == "svg"):
                 end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
-                at = n if end is None else html.find(">", end.end() - 1) + 1 or n
+                if end is not None:
+                    at = html.find(">", end.end() - 1) + 1 or n
+                elif not closed or tag in ("script", "style"):
+                    at = n
             continue
         if tag == "br":
-            parts.append(" ")
+            parts.append((" ", stack[-1].advert, False))
             continue
         if tag in BLOCK:
             flush()
@@ -223,24 +263,27 @@ def score(b: Block) -> int:
     return s - 2 * b.chrome
 
 
-def _near(a: tuple[int, ...], b: tuple[int, ...]) -> int:
+def _near(a: _Node, b: _Node) -> int:
     """Smoothness between page neighbours: halves with each level up to the common element."""
-    common = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        common += 1
-    return NEAR >> max(len(a) - common, len(b) - common, 1) - 1
+    x, y, reach = a, b, NEAR.bit_length()
+    while x is not y:
+        if x.depth >= y.depth:
+            x = x.above
+        else:
+            y = y.above
+        if a.depth - x.depth > reach or b.depth - y.depth > reach:
+            return 0
+    return NEAR >> max(a.depth - x.depth, b.depth - x.depth, 1) - 1
 
 
 def edges(bs: list[Block]) -> list[tuple[int, int, int]]:
     """Smoothness edges: page neighbours, and consecutive blocks under one parent."""
     out = []
-    last: dict = {}
+    last: dict[int, int] = {}
     for i, b in enumerate(bs):
-        if i and (w := _near(bs[i - 1].path, b.path)):
+        if i and (w := _near(bs[i - 1].node, b.node)):
             out.append((i - 1, i, w))
-        parent = b.path[:-1]
+        parent = (b.node.above or b.node).key
         j = last.get(parent)
         if j is not None and j != i - 1:
             out.append((j, i, SIBLING))
@@ -318,7 +361,11 @@ def extract(html: str | None) -> str:
     if not bs:
         return ""
     keep = min_cut([score(b) for b in bs], edges(bs))
-    return "\n".join(b.text for b, k in zip(bs, keep) if k)
+    lines = []
+    for _, line in groupby((b for b, k in zip(bs, keep) if k), key=lambda b: b.line):
+        pieces = list(line)
+        lines.append(pieces[0].text if len(pieces) == 1 else " ".join("".join(b.raw for b in pieces).split()))
+    return "\n".join(lines)
 
 
 def _extract_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
