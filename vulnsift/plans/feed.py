@@ -12,7 +12,7 @@ from vulnsift.operators.templates import IMPACT_SENTENCE, dense_documents, recor
 from vulnsift.plans.registry import query
 from vulnsift.session import checkpoint_dir
 from vulnsift.sinks.feed import write_feed
-from vulnsift.sources.feed import ITEM_FIELDS, adv_items, read_feed, read_records
+from vulnsift.sources.feed import ITEM_FIELDS, adv_items, read_feed, read_feed_splits, read_records
 from vulnsift.sources.tables import table
 
 # DuckDB twin of the adv derivation (FIXTURES.md §4), kept flat: one row per order, one per line.
@@ -184,6 +184,15 @@ def adv_feed_roundtrip(spark, sf_dir):
     return d.select(F.substring("cve_id", 10, 64).cast("bigint").alias("pos"), "cve_id", "document")
 
 
+@query("adv_feed_splits", ops=("S2", "S3", "F16"), sql=DENSE_SQL)
+def adv_feed_splits(spark, sf_dir):
+    """The items as plain JSON feed files, each read in byte ranges by many tasks: must equal ``adv_dense_documents``."""
+    path = _scratch(spark, "feed-plain")
+    write_feed(adv_items(spark, sf_dir), path, ITEM_FIELDS, items_per_file=20000, compression="none")
+    d = dense_documents(read_feed_splits(spark, path))
+    return d.select(F.substring("cve_id", 10, 64).cast("bigint").alias("pos"), "cve_id", "document")
+
+
 @query("part_records", ops=("S4", "P12"), sql="""
 SELECT p_partkey AS partkey, 'nama: ' || p_name || ', tech: ' || p_brand || ', versi: ' || CAST(p_size AS VARCHAR)
        || ', deskripsi: ' || p_type AS text FROM part""")

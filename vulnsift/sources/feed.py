@@ -1,8 +1,8 @@
 """Advisory feed sources (S1-S4, D1-D2) and the ``adv`` feed derived from the driver tables.
 
-Feed files are single JSON documents ``{"CVE_Items": [...]}`` (optionally gzip). Each file is
-one unsplittable JSON document, so files are the unit of parallelism; a feed landed as JSON
-lines (one item per line) is splittable and read by :func:`read_feed_lines`. Both readers use
+Feed files are single JSON documents ``{"CVE_Items": [...]}`` (optionally gzip). For :func:`read_feed` each file is
+one document and files are the unit of parallelism; :func:`read_feed_splits` reads large plain files in
+byte ranges; a feed landed as JSON lines (one item per line) is read by :func:`read_feed_lines`. All use
 an explicit schema in feed order: inference would sort keys, and the flattened document text
 depends on key order.
 """
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from vulnsift.sources.feed_splits import split_items
 from vulnsift.sources.tables import table
 
 CVSS_V3_FIELDS = ["version", "vectorString", "attackVector", "attackComplexity", "privilegesRequired",
@@ -62,6 +63,11 @@ def feed_rows(files: DataFrame, items_col: str = "CVE_Items") -> DataFrame:
     broken = F.col(CORRUPT).isNotNull()
     seats = F.when(broken, F.array(F.lit(None).cast("string"))).otherwise(F.coalesce(items_col, F.array().cast("array<string>")))
     rows = files.select(F.input_file_name().alias("source_file"), broken.alias("_broken"), F.posexplode(seats).alias("pos", "raw"))
+    return _typed(rows)
+
+
+def _typed(rows: DataFrame) -> DataFrame:
+    """``source_file, _broken, pos, raw`` with the item's fields and ``reject``."""
     item = F.from_json("raw", StructType.fromDDL(f"{ITEM_DDL}, {CORRUPT} STRING"), {"columnNameOfCorruptRecord": CORRUPT})
     typed = rows.withColumn("item", item)
     reject = F.when(F.col("_broken"), "malformed file") \
@@ -85,6 +91,23 @@ def feed_rejects(spark: SparkSession, paths, items_col: str = "CVE_Items") -> Da
     return feed_rows(files, items_col).where("reject IS NOT NULL").select("source_file", "pos", "reject")
 
 
+def _split_rows(spark: SparkSession, paths, items_col: str) -> DataFrame:
+    items, broken = split_items(spark, paths, items_col)
+    none = F.lit(None)
+    return _typed(items.withColumn("_broken", F.lit(False)).unionByName(broken.select(
+        "source_file", none.cast("bigint").alias("pos"), none.cast("string").alias("raw"), F.lit(True).alias("_broken"))))
+
+
+def read_feed_splits(spark: SparkSession, paths, items_col: str = "CVE_Items") -> DataFrame:
+    """The rows of :func:`read_feed` with many tasks a file; ``raw`` is the item as it stands in the file."""
+    return _split_rows(spark, paths, items_col).where("reject IS NULL").drop("reject")
+
+
+def split_rejects(spark: SparkSession, paths, items_col: str = "CVE_Items") -> DataFrame:
+    """F16: what :func:`read_feed_splits` leaves out, as :func:`feed_rejects`."""
+    return _split_rows(spark, paths, items_col).where("reject IS NOT NULL").select("source_file", "pos", "reject")
+
+
 def read_feed_lines(spark: SparkSession, paths) -> DataFrame:
     """S2 for JSON-lines feeds (one item per line): splittable, so large files parallelise."""
     return spark.read.schema(item_schema()).json(paths)
