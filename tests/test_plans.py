@@ -28,3 +28,11 @@ def test_scans_are_pruned(spark):
     plan = _plan(REGISTRY["adv_dense_documents"].fn(spark, SF_SMALL))
     assert "l_tax" in plan or "l_shipdate" in plan     # tie-break columns are read on purpose
     assert "c_name" not in plan and "o_comment" not in plan
+
+
+def test_lines_are_dealt_before_their_texts_are_rendered(spark):
+    """Neither shuffle under the advisories carries a rendered CPE or URL, nor a partial list."""
+    from vulnsift.sources.feed import adv_items
+    plan = adv_items(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    at = plan.index("RepartitionByExpression [l_orderkey")
+    assert "ref.example" in plan[:at] and "ref.example" not in plan[at:] and "cpe:2.3" not in plan[at:] and "collect_list" not in plan[at:]
