@@ -143,3 +143,43 @@ def test_layout_holds_for_any_groups():
 def test_no_pairs(spark):
     assert dealt(spark, [], 4) == []
     assert spark.range(0).withColumn("x", permuted(F.col("id"), 0, 1)).count() == 0
+
+
+# -- packed vectors ---------------------------------------------------------------------------------
+
+def test_packed_counts_are_the_embedding_unscaled(spark):
+    import numpy as np
+    from vulnsift.functions.embed import hashed_embedding, packed_embedding, unpacked
+    import pyarrow as pa
+    texts = ["", None, "one two two", "Éa b_c 9", "many " * 300 + "x", "most " * 70000]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").coalesce(1) \
+        .select("i", packed_embedding("t").alias("p"), hashed_embedding("t").alias("e")).orderBy("i").collect()
+    counts = unpacked(pa.array([bytes(r.p) for r in got], pa.binary()))
+    norms = np.linalg.norm(counts, axis=1, keepdims=True)
+    assert np.allclose(counts / np.where(norms == 0, 1, norms), [r.e for r in got])
+    assert [len(r.p) for r in got] == [64, 64, 64, 64, 128, 256]
+
+
+def test_loss_deals_counts_and_no_texts(spark):
+    """The shuffle by batch carries packed vectors; the result is that of the texts."""
+    rows = [(i // 4, i, f"w{i} w{i % 3}", f"w{i % 3} d") for i in range(10)]
+    df = spark.createDataFrame(rows, "batch_id long, shuffled_pos long, query string, document string")
+    out = P.in_batch_ranking_loss(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan[plan.index("RepartitionByExpression [batch_id"):]
+    got = {r.shuffled_pos: r.loss for r in out.collect()}
+    import math
+    import numpy as np
+    from vulnsift.functions.embed import hashed_embedding
+    e = {r.shuffled_pos: (np.array(r.q), np.array(r.d)) for r in df.select("shuffled_pos", hashed_embedding("query").alias("q"), hashed_embedding("document").alias("d")).collect()}
+    for b, i, _, _ in rows:
+        s = {j: 20 * float(e[i][0] @ e[j][1]) for c, j, _, _ in rows if c == b}
+        assert got[i] == pytest.approx(math.log(sum(map(math.exp, s.values()))) - s[i], abs=1e-9)
+
+
+def test_positions_are_stored_without_what_they_are_sorted_by(spark):
+    from vulnsift.operators.sequence import row_index
+    df = spark.createDataFrame([(i, str(97 * i % 50)) for i in range(50)], "row long, text string")
+    got = row_index(df, ["text", "row"], out="at", keep=["row"])
+    assert got.columns == ["row", "at"]
+    assert [r.row for r in got.orderBy("at").collect()] == [i for i, t in sorted(((i, str(97 * i % 50)) for i in range(50)), key=lambda x: (x[1], x[0]))]
