@@ -183,3 +183,18 @@ def test_positions_are_stored_without_what_they_are_sorted_by(spark):
     got = row_index(df, ["text", "row"], out="at", keep=["row"])
     assert got.columns == ["row", "at"]
     assert [r.row for r in got.orderBy("at").collect()] == [i for i, t in sorted(((i, str(97 * i % 50)) for i in range(50)), key=lambda x: (x[1], x[0]))]
+
+
+def test_pair_file_is_compressed(spark, tmp_path):
+    """A document that comes six times takes the room of little more than one."""
+    from vulnsift.sinks.csv import write_csv
+    from vulnsift.sources.delimited import read_csv
+    rnd = random.Random(1)
+    rows = [(str(i), f'q "{i}";\n', "".join(rnd.choice("abcdefgh ,\"\n") for _ in range(900)) if i % 6 == 0 else "") for i in range(600)]
+    rows = [(i, q, rows[k - k % 6][2]) for k, (i, q, _) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "id string, query string, document string").coalesce(1)
+    write_csv(df, f"{tmp_path}/z", compression="gzip")
+    write_csv(df, f"{tmp_path}/p")
+    size = lambda d: sum(f.stat().st_size for f in (tmp_path / d).glob("part-*"))
+    assert sorted(map(tuple, read_csv(spark, f"{tmp_path}/z", "id string, query string, document string").collect())) == sorted(rows)
+    assert size("z") < size("p") / 4

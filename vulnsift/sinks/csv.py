@@ -16,9 +16,9 @@ CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteS
                "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
 
 
-def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
-    """K1: header + rows; one file per task (a folder of part files)."""
-    df.write.mode(mode).options(sep=sep, **CSV_OPTIONS).csv(path)
+def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite", compression: str | None = None) -> None:
+    """K1: header + rows; one file per task (a folder of part files), plain or compressed (``gzip``: Python's ``csv`` over ``gzip.open``)."""
+    df.write.mode(mode).options(sep=sep, compression=compression or "none", **CSV_OPTIONS).csv(path)
 
 
 def save_documents(df: DataFrame, path: str, id_col: str = "id_cve", doc_col: str = "documents",
