@@ -231,3 +231,36 @@ def test_blocked_attention_equals_whole_sequences(spark):
     blocked = {(r.seq_id, r.pos): r.attn for r in concat_heads(attention(by_head(proj), block=4)).collect()}
     assert whole.keys() == blocked.keys()
     assert all(whole[k] == pytest.approx(blocked[k]) for k in whole)
+
+
+def test_cells_sort_only_what_may_be_among_the_best(spark):
+    """A cell of LSH and a block of the exact search give the plain top k, ties by id, without sorting every score."""
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+    from vulnsift.operators import ann, knn
+    rng = np.random.default_rng(4)
+    c = rng.integers(-2, 3, (3000, 4)).astype(float)                # many equal scores
+    q = c[:500]
+    sizes = []
+    plain = knn._topk_rows
+    unit = knn._unit_rows
+    s = unit(q) @ unit(c).T
+    s[np.arange(500), np.arange(500)] = -np.inf
+    want = {(i, int(j)) for i in range(500) for j in np.lexsort((np.arange(3000), -knn.rank_key(s[i])))[:7]}
+
+    def counted(qi, *rest):
+        sizes.append(len(qi))
+        return plain(qi, *rest)
+
+    ann._topk_rows = knn._topk_rows = counted
+    try:
+        out = ann._score_fn(7, True)(pd.DataFrame({"id": range(500), "vec": list(q)}), pd.DataFrame({"c_id": range(3000), "c_vec": list(c)}))
+        held = type("B", (), {"value": (np.arange(500), np.arange(500), unit(q))})
+        t = pa.table([pa.array(range(3000), pa.int64()), pa.array(c.tolist())], names=["cid", "cvec"])
+        block = pa.Table.from_batches(list(knn._block_scorer(held, 7, True, pa.int64(), pa.int64())(iter(t.to_batches(max_chunksize=400)))))
+    finally:
+        ann._topk_rows = knn._topk_rows = plain
+    assert set(zip(out["qid"], out["cid"])) == want
+    assert set(zip(block["qid"].to_pylist(), block["cid"].to_pylist())) == want
+    assert sum(sizes) < 500 * 3000 / 2
