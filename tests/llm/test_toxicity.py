@@ -173,3 +173,29 @@ def test_threshold_of_the_best_f1():
     p, y = np.array([.9, .8, .6, .5, .4, .3, .2, .2, .1, .1]), np.array([1, 1, 1, 1, 1, 0, 0, 0, 0, 0.])
     assert T.best_threshold(p, y, .7) == pytest.approx(.35)
     assert T.best_threshold(p[:4], y[:4], .7) == .7
+
+
+def test_every_labelled_text_is_learned_from(spark, monkeypatch):
+    """No limit on rows, bytes or length of a text."""
+    rows = [(i, "zarkle " * (200_000 if i == 0 else 5), "en") for i in range(0, 30_000, 2)]
+    labels = [(r[0], int(r[0] % 4 == 0)) for r in rows]
+    got = T.labelled_texts(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS))
+    assert {r.doc_id for r in got.select("doc_id").collect()} == {i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+
+
+def test_many_shards_learn_alike(spark, monkeypatch):
+    monkeypatch.setattr(T, "SHARD_BYTES", 60_000)
+    rows, labels = corpus(1500)
+    got, truth = run(spark, rows, labels), dict(labels)
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([got[i].predicted == truth[i] for i in held]) > 0.93
+    assert np.mean([got[i].flagged == truth[i] for i in held]) > 0.93
+
+
+def test_thresholds_of_languages_in_parts(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice(["en", "fr", None]), int(rnd.random() < .4), round(rnd.random(), 2)) for _ in range(400)] + [("xx", 1, .5)]
+    by_lang, common = T.best_thresholds(spark.createDataFrame(rows, "lang string, y int, p double").repartition(4), .7)
+    plain = lambda keep, other: T.best_threshold(np.array([r[2] for r in keep]), np.array([float(r[1]) for r in keep]), other)
+    assert common == pytest.approx(plain(rows, .7))
+    assert by_lang == {x: pytest.approx(plain([r for r in rows if r[0] == x], common)) for x in ("en", "fr", "xx")}
