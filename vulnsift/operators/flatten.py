@@ -21,13 +21,14 @@ from pyspark.sql.types import (ArrayType, BooleanType, DataType, IntegerType, Ma
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from vulnsift.session import ship_package
-from vulnsift.functions.text import clean_text, py_bool_str, py_list_repr
+from vulnsift.functions.text import CLEAN_KEPT_ASCII, clean_text, py_bool_str, py_list_repr
 
 ENTRY_TYPE = "array<struct<key:string,value:string>>"
 
 # ---- fixed values: key fragments the "rest" section skips (case-sensitive, as written) --
 REST_SKIP_KEYS = ["cve_data_meta", "problemtype", "description", "references", "configurations", "impact"]
 MAX_VALUE_LEN = 500
+_KEPT = rf"[{CLEAN_KEPT_ASCII}\-]"
 # -----------------------------------------------------------------------------------------
 
 
@@ -184,7 +185,12 @@ def rest_skip(static_key: str) -> bool:
 
 
 def _cleaned(entries: Column) -> Column:
-    return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), clean_text(e["value"]).alias("value")))
+    """Values as ``clean_text`` leaves them, but for short ASCII values that it would leave something of: the document is cleaned as a whole
+    after the entries are joined, which gives the same for these, character by character."""
+    def value(v: Column) -> Column:
+        plain = (F.octet_length(v) < MAX_VALUE_LEN) & (F.octet_length(v) == F.length(v)) & v.rlike(_KEPT)
+        return F.when(plain, v).otherwise(clean_text(v))
+    return F.transform(entries, lambda e: F.struct(e["key"].alias("key"), value(e["value"]).alias("value")))
 
 
 def _join_entries(entries: Column) -> Column:
