@@ -199,3 +199,24 @@ def test_thresholds_of_languages_in_parts(spark):
     plain = lambda keep, other: T.best_threshold(np.array([r[2] for r in keep]), np.array([float(r[1]) for r in keep]), other)
     assert common == pytest.approx(plain(rows, .7))
     assert by_lang == {x: pytest.approx(plain([r for r in rows if r[0] == x], common)) for x in ("en", "fr", "xx")}
+
+
+def test_score_does_not_depend_on_the_batch():
+    import pyarrow as pa
+    rows, labels = corpus(120)
+    y = np.array([float(dict(labels).get(r[0], 0)) for r in rows])
+    net = T.train(pa.array([r[1] for r in rows]), y, epochs=1, buckets=1 << 12)
+    texts = [r[1] for r in rows]
+    whole = net.score(pa.array(texts))
+    assert all(net.score(pa.array(texts[i:i + k])).tolist() == whole[i:i + k].tolist() for k in (1, 3, 7, 50) for i in range(0, len(texts) - k, 5))
+
+
+def test_rounds_of_training_find_the_shards_in_place(spark, monkeypatch):
+    rows, labels = corpus(300)
+    of = spark.createDataFrame([(i % 7, i, t, int(y)) for (i, t, _), (_, y) in zip(rows, labels)], "shard int, doc_id long, text string, y int").repartition(5)
+    stored = []
+    monkeypatch.setattr(T, "cut", lambda df, c=T.cut: stored.append(c(df)) or stored[-1])
+    net = T.train_shards(of, 7, len(rows), float(sum(y for _, y in labels)), epochs=2, buckets=1 << 10)
+    assert len(stored) == 1 and net.embed.any()
+    at = stored[0].selectExpr("shard", "spark_partition_id() AS p").distinct().groupBy("shard").count().collect()
+    assert {r.shard: r["count"] for r in at} == {i: 1 for i in range(7)}

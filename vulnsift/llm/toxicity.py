@@ -80,6 +80,15 @@ def _bucket(h: np.ndarray, salt: int, buckets: int) -> np.ndarray:
 
 # -- the network ----------------------------------------------------------------------------------------
 
+def _product(x: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """``x @ f`` with every row summed in one order: a matrix product may round a row differently by the rows around it, and the score
+    of a text must not depend on the batch it came in."""
+    out = x[:, :1] * f[0]
+    for i in range(1, len(f)):
+        out += x[:, i:i + 1] * f[i]
+    return out
+
+
 @dataclass
 class Network:
     embed: np.ndarray                   # buckets x DIM, row 0 is zero
@@ -99,7 +108,7 @@ class Network:
             part = out[:, k * FILTERS:(k + 1) * FILTERS]
             part[:] = b
             for back in range(width):
-                answer = vectors @ f[width - 1 - back]
+                answer = _product(vectors, f[width - 1 - back])
                 if not back:
                     part += answer[ids]
                 else:
@@ -108,7 +117,7 @@ class Network:
         return out
 
     def probability(self, pooled: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(pooled.astype(np.float64) @ self.weights + self.bias, -500, 500)))
+        return 1.0 / (1.0 + np.exp(-np.clip((pooled.astype(np.float64) * self.weights).sum(1) + self.bias, -500, 500)))
 
     def score(self, texts: pa.Array) -> np.ndarray:
         pooled = np.zeros((len(texts), len(self.weights)), np.float32)
@@ -276,6 +285,24 @@ def _shard(t: pa.Table) -> tuple[pa.Array, np.ndarray, int]:
     return t.column("text").combine_chunks(), t.column("y").to_numpy().astype(np.float64), t.column("shard")[0].as_py()
 
 
+def _each_shard(work):
+    """``work`` on one shard after the other of a partition that is sorted by shard."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], None
+        for b in batches:
+            ids = b.column("shard").to_numpy()
+            starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else []
+            for s, e in zip(starts, np.r_[starts[1:], len(ids)]):
+                if held and of != ids[s]:
+                    yield from work(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                of = ids[s]
+                held.append(b.slice(s, e - s))
+        if held:
+            yield from work(pa.Table.from_batches(held)).to_batches()
+    return run
+
+
 def _rows_of(places: np.ndarray, values: np.ndarray) -> pa.Table:
     return pa.table([pa.array(places.astype(np.int32)), *[pa.array(np.ascontiguousarray(c, np.float64)) for c in values.T]],
                     names=["place", *[f"v{i}" for i in range(values.shape[1])]])
@@ -286,13 +313,12 @@ def train_shards(t: DataFrame, shards: int, n: int, n1: float, epochs: int = EPO
     """Fit the network to ``shard, doc_id, text, y`` of any number of shards; every text takes part in every epoch."""
     if not 0 < n1 < n:
         return _constant(n1, n)
-    by_shard = t.groupBy("shard")
     if shards == 1:
         def whole(part: pa.Table) -> pa.Table:
             texts, y, _ = _shard(part)
             rows = _packed(train(texts, y, epochs, batch, rate, seed, buckets))
             return _rows_of(np.arange(len(rows)), rows)
-        got = by_shard.applyInArrow(whole, _ROW).toArrow().sort_by("place")
+        got = t.groupBy("shard").applyInArrow(whole, _ROW).toArrow().sort_by("place")
         return _unpacked(np.stack([got.column(f"v{i}").to_numpy() for i in range(DIM)], axis=1), buckets)
 
     def seen(part: pa.Table) -> pa.Table:
@@ -301,7 +327,9 @@ def train_shards(t: DataFrame, shards: int, n: int, n1: float, epochs: int = EPO
         places = np.flatnonzero(counts.any(0))
         return _rows_of(places, counts[:, places].T)
 
-    got = by_shard.applyInArrow(seen, "place int, v0 double, v1 double").groupBy("place").agg(F.sum("v0").alias("v0"), F.sum("v1").alias("v1")).toArrow()
+    # dealt and stored once: a partition holds whole shards, which every round finds in place
+    dealt = cut(t.repartition(shards, "shard").sortWithinPartitions("shard"))
+    got = dealt.mapInArrow(_each_shard(seen), "place int, v0 double, v1 double").groupBy("place").agg(F.sum("v0").alias("v0"), F.sum("v1").alias("v1")).toArrow()
     counts = np.zeros((2, buckets))
     counts[:, got.column("place").to_numpy()] = got.column("v0").to_numpy(), got.column("v1").to_numpy()
     net = _from_counts(counts, n1, n, np.random.default_rng(seed))
@@ -317,7 +345,7 @@ def train_shards(t: DataFrame, shards: int, n: int, n1: float, epochs: int = EPO
             places = np.r_[np.flatnonzero(change[:buckets].any(1)), np.arange(buckets, len(change))]
             return _rows_of(places, change[places])
 
-        mean = by_shard.applyInArrow(moved, _ROW).groupBy("place").agg(*[F.avg(f"v{i}").alias(f"v{i}") for i in range(DIM)]).toArrow()
+        mean = dealt.mapInArrow(_each_shard(moved), _ROW).groupBy("place").agg(*[F.avg(f"v{i}").alias(f"v{i}") for i in range(DIM)]).toArrow()
         rows = _packed(net)
         rows[mean.column("place").to_numpy()] += np.stack([mean.column(f"v{i}").to_numpy() for i in range(DIM)], axis=1)
         net = _unpacked(rows, buckets)
