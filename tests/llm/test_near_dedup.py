@@ -180,3 +180,25 @@ def test_deduplicate_and_edge_cases(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 4, 6, 7, 8]
     none = df.where(F.lit(False))
     assert near_dedup.near_duplicates(none).count() == 0 and near_dedup.deduplicate(none).count() == 0
+
+
+def test_rounds_of_few_links_take_no_shuffle_and_many_agree(spark, monkeypatch):
+    from vulnsift.llm import components as C
+    rng = random.Random(4)
+    frame = spark.createDataFrame([(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(200, n) for n in range(201, 260)], "a long, b long")
+    sc, before = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sc.setJobGroup("few-links", "")
+        got = {r.node: r.comp for r in components(frame).collect()}
+        status = sc.statusTracker()
+        tasks = [status.getStageInfo(s).numTasks for j in status.getJobIdsForGroup("few-links") for s in status.getJobInfo(j).stageIds
+                 if status.getStageInfo(s)]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(n >= 40 for n in tasks) <= 4                         # the links are dealt once, before they are counted
+    monkeypatch.setattr(C, "FEW_LINKS", 0)
+    assert got == {r.node: r.comp for r in components(frame).collect()}
