@@ -55,3 +55,28 @@ def test_progress_of_every_batch_reaches_the_caller(spark, tmp_path):
     (feed / "c.json").write_text(json.dumps({"CVE_Items": [item(2), item(3)]}))
     ingest_feed(spark, str(feed), coll, str(tmp_path / "ck"), on_progress=seen.append)
     assert (seen[-1].items, seen[-1].rejects, seen[-1].documents) == (2, 0, 2) and coll.read().count() == 3
+
+
+def test_vectors_are_made_where_rows_are_stored(spark, tmp_path, monkeypatch):
+    from vulnsift.functions.embed import hashed_embedding, packed_embedding, unpacked_embedding
+    monkeypatch.setattr(C, "FILE_ROWS", 2)
+    texts = ["a b a", "", None, "c " * 300] * 40
+    d = spark.createDataFrame([(f"doc-{i}", t, i) for i, t in enumerate(texts)], "id string, document string, pos long")
+    counts = d.withColumn("packed", packed_embedding("document"))
+    a = C.Collection.open_or_create(spark, str(tmp_path), "a")
+    for _ in range(2):
+        a.add(counts.unionByName(counts.withColumn("pos", F.col("pos") + 1000)), embedding=unpacked_embedding("packed"))
+    b = C.Collection.open_or_create(spark, str(tmp_path), "b")
+    b.add(d.withColumn("embedding", hashed_embedding("document")))
+    rows = lambda c: sorted(map(tuple, c.read().select("id", "document", "embedding", "pos").collect()))
+    assert rows(a) == rows(b) and len(rows(a)) == 160
+    assert a.read().columns == ["id", "document", "embedding", "pos"]
+
+
+def test_texts_of_hits_shuffle_no_document(spark):
+    from vulnsift.operators.knn import format_hits
+    hits = spark.createDataFrame([(1, "x", 0.5), (2, "gone", 0.25)], "query_id long, id string, distance double")
+    docs = spark.createDataFrame([("x", "text"), ("y", "other")], "id string, document string")
+    out = format_hits(hits, docs, "id", "document")
+    assert sorted((r.id, r.document, r.score_text) for r in out.collect()) == [("gone", None, "0.2500"), ("x", "text", "0.5000")]
+    assert "LeftSemi, BuildRight" in out._jdf.queryExecution().executedPlan().toString()

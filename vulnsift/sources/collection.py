@@ -8,17 +8,26 @@ duplicated id never lands whole in one task) and the existing-id check reads ids
 Rows are stored in ``BUCKETS`` folders by a hash of the id. An add reads the ids of those buckets that its own ids fall into;
 if these are at most ``FEW_IDS`` (counted), they are broadcast, and no stored row is shuffled; a larger batch meets them in a
 shuffle join. Appends go through the file committer, so a lost task is redone without duplicates.
+
+``embedding`` makes the vector of a row that is about to be stored from its other columns: after duplicates and known ids are gone and
+the rows are dealt to their buckets, so no vector is shuffled. A bucket of many rows is written by several tasks, of about ``FILE_ROWS``
+rows each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from vulnsift.session import checkpoint_dir
+
 DEFAULT_METADATA = {"hnsw:space": "cosine"}
 BUCKETS = 32
 FEW_IDS = 1_000_000
+FILE_ROWS = 1 << 17
 
 
 def _missing(e: AnalysisException) -> bool:
@@ -84,13 +93,25 @@ class Collection:
             return F.broadcast(held.join(F.broadcast(ids.select("id")), "id", "left_semi"))
         return ids.select("id").join(held, "id", "left_semi")
 
-    def add(self, rows: DataFrame, order_col: str = "pos") -> None:
-        """Append rows whose id is not stored yet; first row per id (by ``order_col``)."""
-        cols = ["document", "embedding", order_col]
+    def add(self, rows: DataFrame, order_col: str = "pos", embedding: Column | None = None) -> None:
+        """Append rows whose id is not stored yet; first row per id (by ``order_col``). ``rows`` have a column ``embedding``,
+        or the vector is ``embedding`` of their other columns."""
+        cols = ["document", "embedding", order_col] if embedding is None else [c for c in rows.columns if c != "id"]
         bucket = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(BUCKETS)).cast("int").alias("bucket")
         # ids already stored go first, so that nothing is embedded for them
         known = self.known_ids(rows.select("id").distinct().select("id", bucket))
         fresh = rows if known is None else rows.join(known, "id", "left_anti")
         first = fresh.groupBy("id").agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("r")) \
             .select("id", *[F.col(f"r.{c}").alias(c) for c in cols], bucket)
-        first.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(self.data_path)
+        if embedding is None:
+            dealt = first.repartition("bucket")
+        else:
+            checkpoint_dir(self.spark)
+            first = first.checkpoint()                              # without vectors
+            parts = math.ceil(first.count() / (BUCKETS * FILE_ROWS))
+            if not parts and known is not None:
+                return
+            part = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(max(1, parts)))
+            dealt = first.repartition(BUCKETS * max(1, parts), "bucket", part) \
+                .select("id", "document", embedding.alias("embedding"), order_col, "bucket")
+        dealt.write.mode("append").partitionBy("bucket").parquet(self.data_path)
