@@ -198,3 +198,97 @@ def test_pair_file_is_compressed(spark, tmp_path):
     size = lambda d: sum(f.stat().st_size for f in (tmp_path / d).glob("part-*"))
     assert sorted(map(tuple, read_csv(spark, f"{tmp_path}/z", "id string, query string, document string").collect())) == sorted(rows)
     assert size("z") < size("p") / 4
+
+
+# -- fans -------------------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("n", [1, 2, 17, 1000, 10**15 + 3])
+def test_permutation_of_arrays_is_that_of_the_column(n):
+    import numpy as np
+    from vulnsift.operators.sequence import permuted_positions
+    xs = sorted({0, n - 1, n // 2, n // 3})
+    assert permuted_positions(np.array(xs), n, 42).tolist() == [plain(x, n, 42) for x in xs]
+
+
+def _fans(spark):
+    from vulnsift.sources.feed import adv_items
+    rows = [(i, 0, f"q{i}", ["same", None, f"p{i} É x"][i % 3]) for i in range(40)]
+    qp = spark.createDataFrame(rows, "conv_id long, turn long, query string, passage string").repartition(3)
+    return qp, adv_items(spark, "/root/testdata/sf0.001").limit(30)
+
+
+def test_fans_are_dealt_as_their_pairs_and_rendered_once(spark):
+    """Whole rows are counted, sorted and joined; the batches and places are those of the pairs one by one."""
+    qp, items = _fans(spark)
+    items = items.cache()
+    pairs, n = P.sized_pair_set(qp, items)
+    want = {(r.row, r.batch_id, r.place) for r in P.no_duplicate_batches(pairs, 42, 8).collect()}
+    fans = P.sized_fan_set(qp, items)[0]
+    got = P.no_duplicate_fans(fans, 8)
+    assert {(r.row, r.batch_id, r.place) for r in got.collect()} == want and len(want) == n
+    assert "id" not in P.no_duplicate_fans(fans.drop("id", "document", "queries"), 8).columns
+
+
+def test_copies_of_a_fan_are_dealt_as_copies_of_pairs(spark):
+    qp, items = _fans(spark)
+    fans = P.sized_fan_set(qp, items)[0].cache()
+    twice = fans.unionByName(fans.where("row % 3 = 0"))
+    plain_ = P.unfolded(twice)
+    want = Counter((r.row, r.batch_id, r.place) for r in P.no_duplicate_batches(plain_.select("row", "document"), 42, 8).collect())
+    assert Counter((r.row, r.batch_id, r.place) for r in P.no_duplicate_fans(twice, 8).collect()) == want
+
+
+def test_weighted_positions(spark):
+    from vulnsift.operators.sequence import row_index
+    df = spark.createDataFrame([(i, i % 4) for i in range(60)], "k long, w int").repartition(4)
+    got = [(r.k, r.at) for r in row_index(df, ["k"], out="at", keep=["k"], weight="w").orderBy("k").collect()]
+    assert got == [(k, sum(i % 4 for i in range(k))) for k in range(60)]
+
+
+def test_words_are_cut_from_the_text_in_batches(spark):
+    """An ASCII text leaves as it is, not as a list of tokens; vectors are those of the tokens."""
+    import hashlib
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+    from vulnsift.functions.embed import packed_embedding, packed_embeddings, unpacked
+    texts = ["A_b  c!!D9", "", None, "...", "x", "x.", ".x", "Straße ÉÀ x", "é", "a\x00b\x7fc", "many " * 300 + "x", "ends", "here"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1)
+    want = np.zeros((len(texts), 64))
+    for i, t in enumerate(texts):
+        for w in re.findall(r"\w+", (t or "").lower()):
+            want[i, int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64] += 1
+    one = unpacked(pa.array([bytes(r.p) for r in df.select("i", packed_embedding("t").alias("p")).orderBy("i").collect()], pa.binary()))
+    many = df.select(packed_embeddings(F.array(F.col("t"), F.lit("x"), F.col("t"))).alias("p"), "i").orderBy("i").collect()
+    assert (one == want).all()
+    assert (unpacked(pa.array([bytes(r.p[2]) for r in many], pa.binary())) == want).all() and all(len(r.p) == 3 for r in many)
+    plan = df.select(packed_embedding("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan
+
+
+def test_batches_of_several_sizes_are_scored_together():
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(1)
+    sizes = [3, 1, 3, 5, 3]
+    bid = np.repeat(np.arange(5), sizes)
+    q, d = rng.normal(size=(2, 15, 4))
+    rb = pa.RecordBatch.from_arrays([pa.array(bid), pa.array(np.arange(15)), pa.array(list(q)), pa.array(list(d))], ["batch_id", "shuffled_pos", "q", "d"])
+    out = pa.Table.from_batches(list(P._batch_loss_fn(20.0)(iter([rb.slice(0, 5), rb.slice(5)])))).to_pylist()
+    unit = lambda v: v / np.linalg.norm(v)
+    for r in out:
+        i = r["shuffled_pos"]
+        s = {j: 20 * float(unit(q[i]) @ unit(d[j])) for j in range(15) if bid[j] == bid[i]}
+        assert r["loss"] == pytest.approx(math.log(sum(map(math.exp, s.values()))) - s[i])
+        assert r["positive_rank"] == 1 + sum(x > s[i] + 1e-9 for x in s.values())
+    assert len(out) == 15
+
+
+def test_counts_of_a_pair_are_made_once(spark):
+    qp, items = _fans(spark)
+    pairs, n = P.sized_pair_set(qp, items, embed_documents=True)
+    plan = P.in_batch_ranking_loss(P.shuffled_batches(pairs, n))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("packed(transform(") == 2                 # one for general pairs, one for those of advisories
