@@ -71,3 +71,27 @@ def test_copies_of_a_query_leave_in_small_batches():
     assert sum(s.num_rows for s in sent) == n * (blocks - 2)
     assert max(s.num_rows * dim * 8 for s in sent) <= 4 << 20
     assert sum(sum(s.column(5).to_pylist()) for s in sent) == n * (blocks - 2)
+
+
+def test_saving_documents_makes_them_for_the_file_and_the_first_rows_only(spark, tmp_path):
+    from vulnsift.sinks.csv import save_documents
+    from vulnsift.sources.feed import adv_items
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def document(pos):
+        made.add(1)
+        return f"text {pos} " * 60
+
+    keys = [None, 5, 1, 9, 1, *range(20, 400)]
+    df = spark.createDataFrame([(k, f"id{i}") for i, k in enumerate(keys)], "pos long, id_cve string").repartition(4).withColumn("documents", document("pos"))
+    shown = save_documents(df, str(tmp_path / "a"), compression="gzip")
+    assert made.value == len(keys)                                                             # not yet for the preview
+    assert sorted(r.id_cve for r in shown.collect()) == ["id0", "id2", "id4"] and all(r.preview.endswith("...") for r in shown.collect())
+    assert made.value < len(keys) + 20
+    rows = spark.read.option("header", True).csv(str(tmp_path / "a")).collect()
+    assert sorted(r.id_cve for r in rows) == sorted(f"id{i}" for i in range(len(keys))) and list((tmp_path / "a").glob("part-*.gz"))
+    assert save_documents(df.where("pos > 1000"), str(tmp_path / "b")) is None and not (tmp_path / "b").exists()
+    assert [r.id_cve for r in save_documents(df.where("pos IS NULL"), str(tmp_path / "c")).collect()] == ["id0"]
+    docs = FL.sparse_documents(adv_items(spark, "/root/testdata/sf0.001"))
+    assert "collect_list" not in docs.select("id_cve")._jdf.queryExecution().optimizedPlan().toString()

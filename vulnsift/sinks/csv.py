@@ -22,13 +22,20 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite",
 
 
 def save_documents(df: DataFrame, path: str, id_col: str = "id_cve", doc_col: str = "documents",
-                   n_preview: int = 3, preview_chars: int = 200, order: str = "pos") -> DataFrame | None:
+                   n_preview: int = 3, preview_chars: int = 200, order: str = "pos", compression: str | None = None) -> DataFrame | None:
     """K2: write unless empty (then warn and skip); return the numbered preview of the first
-    rows (P13) for display."""
-    if df.isEmpty():
+    rows (P13) for display.
+
+    Documents are made for the file and for the first rows only: whether there is a row, and which come first, is read from ``id_col`` and ``order``."""
+    if df.select(id_col).isEmpty():
         log.warning("No data to save")
         return None
-    write_csv(df.select(id_col, doc_col), path)
-    first = df.orderBy(order) if order in df.columns else df
+    write_csv(df.select(id_col, doc_col), path, compression=compression)
+    first = df
+    if order in df.columns:
+        # the n-th smallest key bounds the rows that may come first; null keys come before all others
+        last = df.select(order).orderBy(order).limit(n_preview).collect()[-1][0]
+        few = F.col(order).isNull() if last is None else F.col(order).isNull() | (F.col(order) <= F.lit(last))
+        first = df.where(few).orderBy(order)
     return first.select(id_col, doc_col).limit(n_preview).select(
         id_col, preview(F.col(doc_col), preview_chars).alias("preview"))
