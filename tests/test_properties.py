@@ -264,3 +264,24 @@ def test_cells_sort_only_what_may_be_among_the_best(spark):
     assert set(zip(out["qid"], out["cid"])) == want
     assert set(zip(block["qid"].to_pylist(), block["cid"].to_pylist())) == want
     assert sum(sizes) < 500 * 3000 / 2
+
+
+def test_a_vector_travels_once_for_each_block_of_the_other_side(spark):
+    """Not once for each table, probe and slice of a bucket."""
+    from vulnsift.operators.ann import approx_knn
+    from vulnsift.operators.knn import grid_side
+    df = _hot_vectors(spark)
+    kw = dict(query_id="id", query_vec="v", corpus_id="id", corpus_vec="v", exclude_self=True)
+    out = approx_knn(df, df, 5, max_group=200, **kw)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("Generate explode") == 2
+    assert sorted(out.collect()) == sorted(approx_knn(df, df, 5, **kw).collect())
+    assert [grid_side(n, 64, 16 << 20) for n in (10, 5000, 100_000, 600_000, 2_000_000)] == [1, 2, 6, 6, 16]
+
+
+def test_a_repeated_id_is_one_candidate(spark):
+    from vulnsift.operators.ann import approx_knn
+    df = _hot_vectors(spark).where("id < 60")
+    kw = dict(query_id="id", query_vec="v", corpus_id="id", corpus_vec="v", exclude_self=True, tables=3, bits=2)
+    got = approx_knn(df, df.unionByName(df), 4, **kw).collect()
+    assert len({(r.query_id, r.id) for r in got}) == len(got) == 60 * 4
