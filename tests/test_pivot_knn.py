@@ -61,3 +61,35 @@ def test_small_and_empty(spark):
     same(spark, df, frame(spark, [[0.0, 0.0]]), 2, False)
     assert pruned_knn(df.where("id < 0"), df, 2, **COLS).count() == 0
     assert pruned_knn(df, df.where("id < 0"), 2, **COLS).count() == 0
+
+
+def test_blocks_grow_with_the_vectors_and_rank_no_cell_twice(spark, monkeypatch):
+    """Few blocks, so few copies of a query; the cells of round 2 are found without ordering all of them in every group."""
+    from vulnsift.operators import pivot_knn as P
+    x = clustered(600, 8, 3, 5, 1.0)
+    df = frame(spark, x).cache()
+    monkeypatch.setattr(P, "BLOCK_BYTES", 8 * 8 * 20)
+    monkeypatch.setattr(P, "BLOCKS", 5)
+    rows = pruned_knn(df, df, 2, exclude_self=True, **COLS, with_work=True).where("rank = 1").collect()
+    assert len(rows) == 600 and max(r.copies for r in rows) <= 2 * 12        # both rounds; at 20 vectors a block there would be 30 blocks or more
+    same(spark, df, df, 2, True)
+
+
+def test_a_group_of_round_2_orders_no_cells_and_keeps_what_reaches_the_bound(monkeypatch):
+    import pyarrow as pa
+
+    from vulnsift.operators import pivot_knn as P
+    rng = np.random.default_rng(2)
+    pivots, c, q = (P._unit_rows(rng.normal(size=(n, 4))) for n in (9, 300, 70))
+    cell = ((c[:, None] - pivots[None]) ** 2).sum(2).argmin(1)
+    d = np.sqrt(((c - pivots[cell]) ** 2).sum(1))
+    held = type("H", (), {"value": P._Cells(pivots, *(np.array([f(d[cell == i], initial=s) for i in range(9)]) for f, s in ((np.min, 9), (np.max, 0))), np.bincount(cell, minlength=9),
+                                            np.zeros(9, np.int64), np.ones(9, np.int64))})
+    monkeypatch.setattr(P._Cells, "near", None)
+    monkeypatch.setattr(P, "_QUERIES", 16)
+    score = q @ c.T
+    third = np.sort(score, axis=1)[:, -3]
+    qt = pa.table([pa.array(range(70)), pa.array(range(70)), pa.array(q.tolist()), pa.array(np.sqrt(2 - 2 * third))], names=["q1", "q2", "qvec", "bound"])
+    ct = pa.table([pa.array(cell.astype(np.int32)), pa.array(range(300)), pa.array(range(300)), pa.array(c.tolist())], names=["cell", "least", "vkey", "cvec"])
+    got = P._scorer(held, 2, True)(None, qt, ct).to_pylist()
+    assert {(r["q1"], r["vkey"]) for r in got} == {(i, int(j)) for i in range(70) for j in np.argsort(-score[i])[:3]}
